@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import inf
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.runtime import materialize
@@ -19,22 +21,9 @@ def range_buckets(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     """
     shares = [i / buckets for i in range(1, buckets)]
     (bounds,) = df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()
-    bounds = sorted(set(bounds or []))
-    if not bounds:
-        return df.withColumn("_bucket", F.lit(0))
-    return df.withColumn("_bucket", _position(F.col(key), bounds))
-
-
-def _position(value: Column, bounds: Sequence[float]) -> Column:
-    """How many bounds lie below ``value`` (binary search as nested CASE)."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
+    splits = [-inf, *sorted({float(b) for b in bounds or []}), inf]
+    cut = Bucketizer(splits=splits, inputCol="_key_double", outputCol="_bucket", handleInvalid="keep")
+    return cut.transform(df.withColumn("_key_double", F.col(key).cast("double"))).drop("_key_double")
 
 
 def bucket_offsets(totals: DataFrame, value: str, partition: Sequence[str] = ()) -> DataFrame:
