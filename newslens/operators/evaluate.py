@@ -40,23 +40,23 @@ def binary_metrics(df: DataFrame, y: str = "label", pred: str = "pred", by: Sequ
     )
 
 
-def roc_auc(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame:
-    """Exact area under the ROC curve in one row; NaN when a class is absent.
+def roc_auc(df: DataFrame, y: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve, one row (per ``by`` value); NaN when a class is absent.
 
     Rows are first counted per score, so ties cost nothing and get half credit.
     The running number of negatives is built per score range, not in one window.
     """
-    per_score = df.groupBy(F.col(score).alias("_score")).agg(
+    per_score = df.groupBy(*by, F.col(score).alias("_score")).agg(
         _count(F.col(y) == 1).alias("_pos"), _count(F.col(y) == 0).alias("_neg")
     )
-    ranked = running_total(per_score, "_score", "_neg", "_below")
-    sums = ranked.agg(
+    ranked = running_total(per_score, "_score", "_neg", "_below", by)
+    sums = ranked.groupBy(*by).agg(
         F.sum("_pos").alias("p"),
         F.sum("_neg").alias("n"),
         F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2)).alias("wins"),
     )
     both = F.col("p").cast("double") * F.col("n")
-    return sums.select(F.when(both > 0, F.col("wins") / both).otherwise(float("nan")).alias("auc"))
+    return sums.select(*by, F.when(both > 0, F.col("wins") / both).otherwise(float("nan")).alias("auc"))
 
 
 def classification_report(df: DataFrame, y: str = "label", pred: str = "pred", digits: int = 4) -> DataFrame:

@@ -32,17 +32,21 @@ def bucket_offsets(totals: DataFrame, value: str, partition: Sequence[str] = ())
     return totals.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str, buckets: int = 1024) -> DataFrame:
-    """Sum of ``value`` over all rows with a smaller ``key``; ``key`` must be unique.
+def running_total(
+    df: DataFrame, key: str, value: str, out: str, partition: Sequence[str] = (), buckets: int = 1024
+) -> DataFrame:
+    """Sum of ``value`` over all rows with a smaller ``key``; ``key`` must be unique (per partition).
 
-    Work is split over the buckets; only one number per bucket is broadcast.
+    Work is split over the buckets; only one number per bucket and partition
+    value (a few categories, not a key) is broadcast.
     """
+    groups = [*partition, "_bucket"]
     bucketed = range_buckets(df, key, buckets)
-    totals = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    offsets = bucket_offsets(totals, "_sum").select("_bucket", "_before")
-    inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*groups).agg(F.sum(value).alias("_sum"))
+    offsets = bucket_offsets(totals, "_sum", partition).select(*groups, "_before")
+    inside = Window.partitionBy(*groups).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
+        bucketed.join(F.broadcast(offsets), groups)
         .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_bucket", "_before")
     )

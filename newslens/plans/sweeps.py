@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from newslens.config import RunSettings
 from newslens.operators.classify import KINDS
-from newslens.plans.training import article_features, fit_and_score, metrics_row, stage_tables, train
+from newslens.plans.training import (
+    RUN_KEYS,
+    article_features,
+    evaluation_rows,
+    fit,
+    metrics_table,
+    prepare,
+    rows_of_seed,
+    stage_tables,
+)
 from newslens.runtime import materialize
 
 # The documented ablation grid.
@@ -19,18 +28,23 @@ WEIGHT_GRID = ((0.1, 0.3, 0.6), (0.2, 0.3, 0.5), (0.3, 0.2, 0.5))
 DROP_GRID = ((), ("PR",), ("SR",), ("HS",), ("UL",), ("SP", "NC"))
 
 
-def _table(rows: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, rows)
+def _sweep(features: DataFrame, splits: DataFrame, settings: RunSettings, seed: int, kinds: Sequence[str]) -> list[DataFrame]:
+    """Scored val and test rows of several classifiers on one seed; calibration is shared."""
+    prepared = prepare(rows_of_seed(features, splits, seed), settings, transition=False)
+    scored = []
+    for kind in kinds:
+        one = replace(settings, classifier=kind)
+        scored.append(evaluation_rows(fit(prepared, one, seed).predict(prepared.rows), one, seed))
+    return scored
 
 
 def run_baselines(articles: DataFrame, settings: RunSettings, folder: str, kinds: Sequence[str] = KINDS) -> DataFrame:
     """Every classifier on every split seed. Features and splits are computed once."""
     features, splits = stage_tables(articles, settings, folder)
-    rows = []
-    for kind in kinds:
-        for seed in settings.seeds[: settings.n_splits]:
-            rows.append(fit_and_score(features, splits, replace(settings, classifier=kind), seed).metrics)
-    return _table(rows)
+    scored = []
+    for seed in settings.seeds[: settings.n_splits]:
+        scored += _sweep(features, splits, settings, seed, kinds)
+    return metrics_table(materialize(reduce(DataFrame.unionByName, scored), "baselines"), RUN_KEYS)
 
 
 def run_ablations(
@@ -46,19 +60,16 @@ def run_ablations(
     Weights change the feature table, so they are the outer loop; the other two
     reuse it.
     """
-    seed, rows = settings.seeds[0], []
+    seed, scored = settings.seeds[0], []
     for w in weights:
         weighted = replace(settings, weights=tuple(w))
         features, splits = stage_tables(articles, weighted, folder)
-        for kind in kinds:
-            for drop in drops:
-                run = fit_and_score(features, splits, replace(weighted, classifier=kind, drop_features=tuple(drop)), seed)
-                rows.append(
-                    run.metrics.select(
-                        F.lit("/".join(map(str, w))).alias("weights"), F.lit("+".join(drop)).alias("dropped"), "*"
-                    )
-                )
-    return _table(rows)
+        for drop in drops:
+            marks = {"weights": F.lit("/".join(map(str, w))), "dropped": F.lit("+".join(drop))}
+            one = replace(weighted, drop_features=tuple(drop))
+            scored += [s.withColumns(marks) for s in _sweep(features, splits, one, seed, kinds)]
+    rows = materialize(reduce(DataFrame.unionByName, scored), "ablations")
+    return metrics_table(rows, ("weights", "dropped", *RUN_KEYS))
 
 
 def summarize(metrics: DataFrame, by: Sequence[str] = ("kind", "split")) -> DataFrame:
@@ -73,7 +84,8 @@ def summarize(metrics: DataFrame, by: Sequence[str] = ("kind", "split")) -> Data
 def cross_source(articles: DataFrame, settings: RunSettings, train_on: str, test_on: Sequence[str], seed: int) -> DataFrame:
     """Train on one source and test on others, whole sources each."""
     wanted = articles.filter(F.col("source").isin(train_on, *test_on))
-    features = materialize(article_features(wanted, settings), "xgen")
-    trained = train(features.filter(F.col("source") == train_on), settings, seed)
-    scored = materialize(trained.score(features.filter(F.col("source") != train_on)).withColumn("split", F.col("source")), "xgen-scored")
-    return _table([metrics_row(scored, s) for s in test_on]).withColumn("trained_on", F.lit(train_on))
+    features = article_features(wanted, settings)
+    role = F.when(F.col("source") == train_on, "train").otherwise(F.col("source"))
+    prepared = prepare(materialize(features, "xgen").withColumn("split", role), settings, transition=False)
+    scored = evaluation_rows(fit(prepared, settings, seed).predict(prepared.rows), settings, seed)
+    return metrics_table(materialize(scored, "xgen-scored"), RUN_KEYS).withColumn("trained_on", F.lit(train_on))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,7 @@ from newslens.runtime import materialize, spread_small_scan
 from newslens.sources.writers import write_splits, write_tables
 
 FEATURE_FIELDS = ("weights", "max_body_sentences", "lexicons", "fact_confirmation")
+RUN_KEYS = ("seed", "kind", "run", "split")
 SPLIT_FIELDS = ("seeds", "n_splits", "ratio", "dedupe", "max_bits")
 
 
@@ -68,77 +69,96 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
         return spark.read.parquet(path)
 
 
+def corpus_digest(articles: DataFrame) -> str:
+    """Row count and order-free content hash, so a stage table is never reused for other rows."""
+    n, x = articles.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "title", "text", "label"))).first()
+    return f"{n}-{(x or 0) & (2**64 - 1):016x}"
+
+
 def stage_tables(
     articles: DataFrame, settings: RunSettings, folder: str, encoder: Callable[[], Encoder] = hash_encoder, tag: str = "hash"
 ) -> tuple[DataFrame, DataFrame]:
-    """Features and splits, addressed by the digest of the settings they depend on.
+    """Features and splits, addressed by the rows and the settings they depend on.
 
-    Sweeps over classifiers or dropped features find both tables again.
+    Sweeps over classifiers or dropped features find both tables again. ``tag``
+    names the encoder.
     """
     spark = articles.sparkSession
+    corpus = corpus_digest(articles)
     features = stored(
-        spark, folder, f"features-{tag}-{settings.digest(*FEATURE_FIELDS)}", lambda: article_features(articles, settings, encoder)
+        spark,
+        folder,
+        f"features-{tag}-{corpus}-{settings.digest(*FEATURE_FIELDS)}",
+        lambda: article_features(articles, settings, encoder),
     )
 
     def build_splits() -> DataFrame:
         groups = article_groups(articles, settings.dedupe, settings.max_bits)
         return stratified_splits(articles, settings.seeds, settings.n_splits, settings.ratio, groups=groups)
 
-    return features, stored(spark, folder, f"splits-{settings.digest(*SPLIT_FIELDS)}", build_splits)
+    return features, stored(spark, folder, f"splits-{corpus}-{settings.digest(*SPLIT_FIELDS)}", build_splits)
 
 
 @dataclass(frozen=True)
-class Trained:
-    """Calibration table, transition matrix and classifier of one fit."""
+class Prepared:
+    """Rows of one seed with calibrated features, and what the training rows gave."""
 
+    rows: DataFrame
     minmax: DataFrame
-    T: np.ndarray
-    classifier: Classifier
+    T: np.ndarray | None
     features: tuple[str, ...]
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Calibrated features, their projections from A, score and prediction."""
-        scaled = apply_minmax(df, self.minmax)
-        return self.classifier.predict(with_projection(scaled, "A", self.T, self.features))
+    @property
+    def train_rows(self) -> DataFrame:
+        return self.rows.filter("split = 'train'")
 
 
-def train(rows: DataFrame, settings: RunSettings, seed: int) -> Trained:
-    """Fit calibration, transition and classifier on training rows only."""
+def prepare(rows: DataFrame, settings: RunSettings, transition: bool = True) -> Prepared:
+    """Calibrate on the training rows, then fit the transition on them. ``rows`` holds ``split``."""
     features = settings.features
-    params = materialize(fit_minmax(rows, features), "minmax")
-    scaled = materialize(apply_minmax(rows, params).select("A", "label", *features), "train")
-    t = fit_transition(scaled, "A", features, settings.svd_tolerance)
-    model = fit_classifier(scaled, features, settings.classifier, settings.C, settings.gamma, seed=seed)
-    return Trained(params, t, model, features)
+    params = fit_minmax(rows.filter("split = 'train'"), features)
+    scaled = materialize(apply_minmax(rows, params), "run-rows")
+    t = fit_transition(scaled.filter("split = 'train'"), "A", features, settings.svd_tolerance) if transition else None
+    return Prepared(scaled, params, t, features)
 
 
-def metrics_row(scored: DataFrame, split: str) -> DataFrame:
-    part = scored.filter(F.col("split") == split)
-    auc = roc_auc(part).withColumn("split", F.lit(split))
-    return binary_metrics(part).withColumn("split", F.lit(split)).join(F.broadcast(auc), "split")
+def rows_of_seed(features: DataFrame, splits: DataFrame, seed: int) -> DataFrame:
+    return features.join(select_split(splits, seed).select("id", "split"), "id")
 
 
-def run_metrics(scored: DataFrame, settings: RunSettings, seed: int) -> DataFrame:
-    """One row per (seed, split) for val and test."""
-    rows = metrics_row(scored, "val").unionByName(metrics_row(scored, "test"))
-    return rows.select(F.lit(seed).alias("seed"), F.lit(settings.classifier).alias("kind"), F.lit(settings.digest()).alias("run"), "*")
+def fit(prepared: Prepared, settings: RunSettings, seed: int) -> Classifier:
+    return fit_classifier(
+        prepared.train_rows, prepared.features, settings.classifier, settings.C, settings.gamma, seed=seed
+    )
+
+
+def metrics_table(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Confusion counts, ratios and AUC for every ``by`` value (a few runs and splits)."""
+    auc = roc_auc(scored, by=by)
+    return binary_metrics(scored, by=by).join(F.broadcast(auc), list(by))
+
+
+def evaluation_rows(scored: DataFrame, settings: RunSettings, seed: int) -> DataFrame:
+    """Scored val and test rows, marked with the run they belong to."""
+    marks = {"seed": F.lit(seed), "kind": F.lit(settings.classifier), "run": F.lit(settings.digest())}
+    return scored.filter("split <> 'train'").withColumns(marks).select(*RUN_KEYS, "id", "label", "pred", "score")
 
 
 @dataclass(frozen=True)
 class Run:
-    """Scored rows, model and metrics of one seed."""
+    """Fitted parts, scored rows and metrics of one seed."""
 
-    trained: Trained
+    prepared: Prepared
+    classifier: Classifier
     scored: DataFrame
     metrics: DataFrame
 
 
 def fit_and_score(features: DataFrame, splits: DataFrame, settings: RunSettings, seed: int) -> Run:
-    chosen = select_split(splits, seed).select("id", "split")
-    rows = materialize(features.join(chosen, "id"), "run-rows")
-    trained = train(rows.filter("split = 'train'"), settings, seed)
-    scored = materialize(trained.score(rows), "scored")
-    return Run(trained, scored, run_metrics(scored, settings, seed))
+    prepared = prepare(rows_of_seed(features, splits, seed), settings)
+    model = fit(prepared, settings, seed)
+    scored = materialize(model.predict(with_projection(prepared.rows, "A", prepared.T, prepared.features)), "scored")
+    return Run(prepared, model, scored, metrics_table(evaluation_rows(scored, settings, seed), RUN_KEYS))
 
 
 def run_training(
@@ -151,7 +171,7 @@ def run_training(
     spark = articles.sparkSession
     features, splits = stage_tables(articles, settings, folder, encoder)
     run = fit_and_score(features, splits, settings, seed)
-    names = run.trained.features
+    names = run.prepared.features
     hats = [f"{n}_hat" for n in names]
     val = run.scored.filter("split = 'val'")
     out = f"{folder.rstrip('/')}/run-{settings.digest()}-{seed}"
@@ -164,8 +184,8 @@ def run_training(
             "B": run.scored.select("id", *names),
             "B_raw": features.select("id", *names),
             "B_hat": run.scored.select("id", *hats),
-            "T": transition_table(spark, run.trained.T, names),
-            "minmax": run.trained.minmax,
+            "T": transition_table(spark, run.prepared.T, names),
+            "minmax": run.prepared.minmax,
             "evidence": article_evidence(articles, settings, encoder),
             "predictions": run.scored.select("id", "label", "split", "score", "pred"),
             "reports": reports[0].unionByName(reports[1]),
@@ -175,7 +195,7 @@ def run_training(
         out,
     )
     write_splits(select_split(splits, seed), f"{out}/splits")
-    run.trained.classifier.save(f"{out}/classifier")
+    run.classifier.save(f"{out}/classifier")
     return run
 
 
@@ -186,8 +206,7 @@ def evaluate_saved(spark: SparkSession, run_folder: str, split: str = "test") ->
     model = Classifier.load(f"{run_folder}/classifier")
     labels = spark.read.parquet(f"{run_folder}/predictions").filter(F.col("split") == split).select("id", "label")
     scored = materialize(model.predict(spark.read.parquet(f"{run_folder}/B").join(labels, "id")), "evaluated")
-    auc = roc_auc(scored)
-    both = binary_metrics(scored).withColumn("split", F.lit(split)).join(F.broadcast(auc.withColumn("split", F.lit(split))), "split")
-    result = both.select("split", "accuracy", "precision", "recall", "f1", "auc")
+    measured = metrics_table(scored.withColumn("split", F.lit(split)), ["split"])
+    result = measured.select("split", "accuracy", "precision", "recall", "f1", "auc")
     result.write.mode("overwrite").json(f"{run_folder}/eval_{split}")
     return result
