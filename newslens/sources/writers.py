@@ -6,7 +6,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""}
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": '""',
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_processed(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> str:
