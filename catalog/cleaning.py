@@ -103,7 +103,7 @@ def integrate(spark, sf):
 
 def lexicon_source(spark, sf):
     words = table(spark, sf, "benchmark").select(F.explode(F.split("text", r"[ \n]")).alias("w"))
-    lines = words.select(F.concat(F.lit("  "), F.upper("w"), F.lit(" ")).alias("value"))
+    lines = words.select(F.concat(F.lit("  "), "w", F.lit(" ")).alias("value"))
     path = scratch_path(spark, "lexicon")
     lines.unionByName(lines.select(F.lit("   ").alias("value"))).write.text(path)
     return readers.read_lexicon(spark, path)

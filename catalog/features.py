@@ -28,7 +28,7 @@ from newslens.functions.scalars import cosine
 from newslens.operators.embedding import text_vectors, with_document_vectors
 from newslens.operators.features import lexical_features, lexicon_hits, with_text_parts
 from newslens.plans.training import article_evidence, article_features
-from newslens.runtime import spread_small_scan
+from newslens.runtime import materialize, spread_small_scan
 
 FEATURES = (*FEATURE_ORDER, "FC")
 
@@ -91,7 +91,7 @@ def similarity_feature(name):
 
 def lexical_feature(name):
     def query(spark, sf):
-        return lexical_features(_docs(spark, sf), "text", LEX).select("doc_id", F.round(name, 6).alias(name))
+        return lexical_features(_docs(spark, sf), "text", LEX).select("doc_id", F.round(name, 9).alias(name))
 
     return query
 
@@ -103,7 +103,8 @@ def lexicon_table_share(spark, sf):
 
 
 def _evidence(spark, sf):
-    return article_evidence(articles(spark, sf), SETTINGS)
+    """The evidence table as a run stores it; readers unfold the stored table."""
+    return materialize(article_evidence(articles(spark, sf), SETTINGS), "evidence")
 
 
 def evidence_spans(spark, sf):
@@ -216,12 +217,12 @@ lex AS (SELECT doc_id,
 
 
 def _lex(name: str) -> str:
-    return f"WITH {DOCS}, {lexical_ctes()} SELECT doc_id, round({name}, 6) AS {name} FROM lex"
+    return f"WITH {DOCS}, {lexical_ctes()} SELECT doc_id, round({name}, 9) AS {name} FROM lex"
 
 
 ART_PARTS = f"{ARTICLES}, aparts AS (SELECT *, {sql_sentences('sq')} AS sents, {sql_words('sq')} AS words FROM art)"
 ART_FEATURES = f"""{ART_PARTS}, {vector_ctes('aparts', 'id')}, {_PR}, {_HS}, {lexical_ctes('aparts', 'id')},
-feat AS (SELECT l.doc_id AS id, a.label, a.source, PR, SR, HS, UL, SP, NC, SQ, FC, fc_hits, n_quotes, len(a.sents) AS n
+feat AS (SELECT l.doc_id AS id, a.label, a.source, PR, SR, HS, UL, SP, NC, l.SQ AS SQ, FC, fc_hits, n_quotes, len(a.sents) AS n
   FROM lex l JOIN pr USING (doc_id) JOIN hs USING (doc_id) JOIN aparts a ON a.id = l.doc_id)"""
 
 _SPACED = f"regexp_extract_all(text, '{SPACE}*[^{SPACE[1:-1]}]+')"

@@ -41,6 +41,11 @@ def strict_label_code(label: Column) -> Column:
     return F.coalesce(label_code(v), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(v, F.lit("NULL")))).cast("int"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.config import FACT_KEYWORDS, Lexicons
 from newslens.functions import text as tx
+from newslens.functions.scalars import let
 from newslens.operators.features import in_lexicon, is_subjective, keyword_hits, quote_count
 
 SPAN = "array<struct<start:int,end:int>>"
@@ -41,15 +42,24 @@ def token_spans(cleaned: Column, spaced: Column, test, limit: int = MAX_TOKEN_SP
     """
     numbered = F.transform(cleaned, lambda w, i: F.when(test(w), i))
     hits = F.slice(F.filter(numbered, lambda i: i.isNotNull()), 1, limit)
+    begin = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def advance(state: Column, i: Column) -> Column:
-        end = state["at"] + F.length(F.array_join(F.slice(spaced, state["seen"] + 1, i + 1 - state["seen"]), ""))
-        start = end - F.length(tx.squeeze(F.get(spaced, i)))
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((i + 1).alias("seen"), end.alias("at"), F.concat(state["spans"], span).cast(SPAN).alias("spans"))
+    def walk(pieces: Column) -> Column:
+        def advance(state: Column, i: Column) -> Column:
+            passed = F.slice(pieces, state["seen"] + 1, i + 1 - state["seen"])
+            end = state["at"] + F.length(F.array_join(passed, ""))
 
-    begin = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(hits, begin, advance, lambda state: state["spans"])
+            def step(end: Column) -> Column:
+                start = end - F.length(tx.squeeze(F.get(pieces, i)))
+                span = F.array(F.struct(start.alias("start"), end.alias("end")))
+                spans = F.concat(state["spans"], span).cast(SPAN)
+                return F.struct((i + 1).alias("seen"), end.alias("at"), spans.alias("spans"))
+
+            return let(end, step)
+
+        return F.aggregate(hits, begin, advance, lambda state: state["spans"])
+
+    return let(spaced, walk)
 
 
 def keyword_spans(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.config import FACT_KEYWORDS, Lexicons
 from newslens.functions import text as tx
-from newslens.functions.scalars import clip01
+from newslens.functions.scalars import clip01, let
 
 # Subjective suffixes, quote characters, and the quoting weights.
 SUBJECTIVE_SUFFIXES = ("ly", "ive", "ous")
@@ -71,7 +71,11 @@ def sentence_polarity(lex: Lexicons) -> Column:
     def score(ws: Column) -> Column:
         pos = tx.count_where(ws, lambda t: in_lexicon(t, lex.positive))
         neg = tx.count_where(ws, lambda t: in_lexicon(t, lex.negative))
-        return F.lit(0.5) * ((pos - neg) / F.greatest(F.lit(1), pos + neg) + F.lit(1.0))
+        both = F.struct(pos.alias("pos"), neg.alias("neg"))
+        return let(
+            both,
+            lambda c: F.lit(0.5) * ((c["pos"] - c["neg"]) / F.greatest(F.lit(1), c["pos"] + c["neg"]) + F.lit(1.0)),
+        )
 
     return F.transform("_sent_words", score)
 
@@ -81,7 +85,7 @@ def array_mean(xs: Column) -> Column:
 
 
 def array_var_pop(xs: Column, mean: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(xs)
+    return let(mean, lambda m: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))) / F.size(xs)
 
 
 def occurrences(text: Column, char: str) -> Column:
