@@ -20,7 +20,7 @@ from newslens.functions import text as tx
 from newslens.functions.scalars import clip01, label_code, label_name, standard_label
 from newslens.operators import corpus, standardize as st
 from newslens.plans.datasets import process_custom, process_dataset, process_many
-from newslens.runtime import scratch_path
+from newslens.runtime import scratch_path, spread_small_scan
 from newslens.sources import readers, writers
 
 
@@ -137,17 +137,21 @@ def label_codes(spark, sf):
     return df.withColumn("name", label_name(F.col("code")))
 
 
+def _texts(spark, sf):
+    return spread_small_scan(documents(spark, sf).select("doc_id", "text"), "doc_id")
+
+
 def _sents(text="text"):
     return tx.pieces(tx.mark_sentences(tx.squeeze(F.col(text))), "\n")
 
 
 def sentence_split(spark, sf):
-    df = documents(spark, sf).select("doc_id", _sents().alias("s"))
+    df = _texts(spark, sf).select("doc_id", _sents().alias("s"))
     return df.select("doc_id", F.size("s").alias("n_sents"), F.md5(F.array_join("s", "\n")).alias("sents_md5"))
 
 
 def lead_body(spark, sf):
-    df = documents(spark, sf).select("doc_id", _sents().alias("s"))
+    df = _texts(spark, sf).select("doc_id", _sents().alias("s"))
     return df.select(
         "doc_id", F.md5(tx.lead(F.col("s"))).alias("lead_md5"), F.size(tx.body(F.col("s"))).alias("n_body"),
         F.md5(F.array_join(tx.body(F.col("s")), "\n")).alias("body_md5"),
@@ -155,7 +159,7 @@ def lead_body(spark, sf):
 
 
 def clean_words(spark, sf):
-    df = documents(spark, sf).select("doc_id", tx.clean_words(tx.squeeze(F.col("text"))).alias("w"))
+    df = _texts(spark, sf).select("doc_id", tx.clean_words(tx.squeeze(F.col("text"))).alias("w"))
     return df.select(
         "doc_id", F.size("w").alias("n_words"), tx.count_where(F.col("w"), lambda w: w == "").alias("n_empty"),
         F.md5(F.array_join("w", " ")).alias("words_md5"),
@@ -163,7 +167,7 @@ def clean_words(spark, sf):
 
 
 def lower_words(spark, sf):
-    df = documents(spark, sf).select("doc_id", tx.lower_words(F.col("text")).alias("w"))
+    df = _texts(spark, sf).select("doc_id", tx.lower_words(F.col("text")).alias("w"))
     return df.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from newslens.functions.scalars import once
+
 # Bound on the per-task token cache; it is emptied when full.
 MAX_CACHED_TOKENS = 500_000
 
@@ -49,6 +51,7 @@ class TokenDigests:
         return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8)
 
 
+@once
 @F.arrow_udf(LongType())
 def simhash64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """64-bit SimHash over lower-cased words with multiplicity.

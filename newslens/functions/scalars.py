@@ -46,6 +46,15 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(udf):
+    """Keep the optimiser from copying a costly task function.
+
+    ``explode`` and filters on its result would otherwise push a second copy of
+    the call below the first one.
+    """
+    return udf.asNondeterministic()
+
+
 def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, Str
 
 from newslens.config import PART_WEIGHTS
 from newslens.functions.encoders import Encoder, hash_encoder
+from newslens.functions.scalars import once
 
 # Texts encoded at a time: bounds the memory of a task at 4096 x dim doubles.
 CHUNK = 4096
@@ -38,7 +39,7 @@ def text_vectors(encoder: Callable[[], Encoder] = hash_encoder):
             texts = [t or "" for t in batch.to_pylist()]
             yield _float_lists(np.vstack([enc(texts[i : i + CHUNK]) for i in range(0, len(texts), CHUNK)]))
 
-    return F.arrow_udf(encode, VECTOR)
+    return once(F.arrow_udf(encode, VECTOR))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ def document_vectors(
             a, pr, hs = (np.concatenate(parts) for parts in zip(*done))
             yield pa.StructArray.from_arrays([_float_lists(a), pa.array(pr), pa.array(hs)], names=["A", "PR", "HS"])
 
-    return F.arrow_udf(encode, DOCUMENT)
+    return once(F.arrow_udf(encode, DOCUMENT))
 
 
 def with_document_vectors(df: DataFrame, title: str, lead: str, sents: str, **options) -> DataFrame:

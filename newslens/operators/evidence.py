@@ -86,15 +86,14 @@ def _entry(name: str, spans: Column | None = None, notes: Column | None = None,
     )
 
 
-def evidence_records(
+def with_evidence(
     df: DataFrame,
-    id_col: str = "id",
     text: str = "text",
     lex: Lexicons | None = None,
     fact: bool = True,
     subjectivity_threshold: float = 0.5,
 ) -> DataFrame:
-    """``(id, features)`` from a frame that holds the feature columns, ``_squeezed``,
+    """Add ``evidence``, one entry per feature, to a frame that holds the feature columns, ``_squeezed``,
     ``_sents`` and ``_words``.
 
     ``subjectivity_threshold`` is only echoed into the record.
@@ -125,4 +124,4 @@ def evidence_records(
             _entry("FC", keyword_spans(raw), keywords_checked=F.lit(len(FACT_KEYWORDS)), hits=keyword_hits(raw))
         )
     spaced = df.withColumn("_spaced", spaced_words(raw, F.col("_squeezed")))
-    return spaced.select(F.col(id_col).alias("id"), F.array(*entries).alias("features"))
+    return spaced.withColumn("evidence", F.array(*entries)).drop("_spaced")

@@ -166,10 +166,11 @@ def lexicon_hits(df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "te
     """
     salts = 16
     ws = df.select(id_col, tx.clean_words(tx.squeeze(F.coalesce(F.col(text), F.lit("")))).alias("_w"))
+    # the outer form keeps texts without words and spares a second tokenising for a size filter
     counted = (
-        ws.select(id_col, F.explode("_w").alias("word"))
+        ws.select(id_col, F.explode_outer("_w").alias("word"))
         .groupBy(id_col, "word")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count("word").alias("_n"))
         .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     )
     vocabulary = (
@@ -184,5 +185,4 @@ def lexicon_hits(df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "te
         .groupBy(id_col)
         .agg(F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(0)).alias("hits"), F.sum("_n").alias("tokens"))
     )
-    empty = ws.filter(F.size("_w") == 0).select(id_col, F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("tokens"))
-    return per_text.unionByName(empty).withColumn("share", F.col("hits") / F.greatest(F.lit(1), F.col("tokens")))
+    return per_text.withColumn("share", F.col("hits") / F.greatest(F.lit(1), F.col("tokens")))

@@ -17,7 +17,7 @@ from newslens.operators.calibration import apply_minmax, fit_minmax
 from newslens.operators.classify import Classifier, fit_classifier
 from newslens.operators.embedding import with_document_vectors
 from newslens.operators.evaluate import binary_metrics, classification_report, roc_auc
-from newslens.operators.evidence import evidence_records
+from newslens.operators.evidence import with_evidence
 from newslens.operators.features import lexical_features
 from newslens.operators.fidelity import distance_correlation
 from newslens.operators.splits import article_groups, select_split, stratified_splits
@@ -31,9 +31,9 @@ SPLIT_FIELDS = ("seeds", "n_splits", "ratio", "dedupe", "max_bits")
 
 
 def article_features(
-    articles: DataFrame, settings: RunSettings, encoder: Callable[[], Encoder] = hash_encoder, parts: bool = False
+    articles: DataFrame, settings: RunSettings, encoder: Callable[[], Encoder] = hash_encoder, evidence: bool = False
 ) -> DataFrame:
-    """Articles with A and all feature columns (and, with ``parts``, the text parts evidence needs).
+    """Articles with A and all feature columns and, if wanted, the evidence behind them.
 
     One narrow pass over the text: no shuffle whatever the size.
     """
@@ -49,14 +49,15 @@ def article_features(
         max_body_sentences=settings.max_body_sentences,
     )
     names = FEATURE_ORDER + (("FC",) if settings.fact_confirmation else ())
-    extra = ["text", "_squeezed", "_sents", "_words"] if parts else []
-    return out.select("id", "label", "source", "A", *names, *extra)
+    if evidence:
+        out = with_evidence(out, "text", settings.lexicons, settings.fact_confirmation)
+    return out.select("id", "label", "source", "A", *names, *(["evidence"] if evidence else []))
 
 
 def article_evidence(articles: DataFrame, settings: RunSettings, encoder: Callable[[], Encoder] = hash_encoder) -> DataFrame:
     """``(id, features)``: value, spans, notes and details of every feature."""
-    full = article_features(articles, settings, encoder, parts=True)
-    return evidence_records(full, "id", "text", settings.lexicons, settings.fact_confirmation)
+    full = article_features(articles, settings, encoder, evidence=True)
+    return full.select("id", F.col("evidence").alias("features"))
 
 
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -89,7 +90,7 @@ def stage_tables(
         spark,
         folder,
         f"features-{tag}-{corpus}-{settings.digest(*FEATURE_FIELDS)}",
-        lambda: article_features(articles, settings, encoder),
+        lambda: article_features(articles, settings, encoder, evidence=True),
     )
 
     def build_splits() -> DataFrame:
@@ -123,7 +124,7 @@ def prepare(rows: DataFrame, settings: RunSettings, transition: bool = True) ->
 
 
 def rows_of_seed(features: DataFrame, splits: DataFrame, seed: int) -> DataFrame:
-    return features.join(select_split(splits, seed).select("id", "split"), "id")
+    return features.drop("evidence").join(select_split(splits, seed).select("id", "split"), "id")
 
 
 def fit(prepared: Prepared, settings: RunSettings, seed: int) -> Classifier:
@@ -186,7 +187,7 @@ def run_training(
             "B_hat": run.scored.select("id", *hats),
             "T": transition_table(spark, run.prepared.T, names),
             "minmax": run.prepared.minmax,
-            "evidence": article_evidence(articles, settings, encoder),
+            "evidence": features.select("id", F.col("evidence").alias("features")),
             "predictions": run.scored.select("id", "label", "split", "score", "pred"),
             "reports": reports[0].unionByName(reports[1]),
             "fidelity": distance_correlation(val, names, hats),

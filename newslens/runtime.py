@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Spark's default size of one input split.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def build_session(app: str = "newslens", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,14 +61,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small_scan(df: DataFrame, by: str | None = None) -> DataFrame:
+def spread_small_scan(df: DataFrame, by: str) -> DataFrame:
     """Give a CPU-heavy map at least one task per core.
 
-    A file of a few row groups becomes a few tasks, whatever the cluster size.
-    Only then are rows moved; a scan that already has enough partitions (any
-    large table) is returned as it is.
+    A few small files become a few tasks, whatever the cluster size. Only when
+    there are fewer files than cores, and together they are smaller than one
+    input split per core, are the rows moved; any large scan is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if by is not None and len(df.inputFiles()) < cores:
-        return df.repartition(cores, by)
-    return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    return df.repartition(cores, by) if size < cores * SPLIT_BYTES else df
