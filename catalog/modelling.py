@@ -180,6 +180,12 @@ def run_tables(spark, sf):
     return rows
 
 
+def training_run(spark, sf):
+    folder = scratch_path(spark, "run")
+    tr.run_training(articles(spark, sf), SETTINGS, 13, folder)
+    return spark.read.parquet(f"{folder}/run-{SETTINGS.digest()}-13/metrics")
+
+
 def baselines(spark, sf):
     return sweeps.run_baselines(articles(spark, sf), SETTINGS, scratch_path(spark, "run"))
 
@@ -238,6 +244,7 @@ QUERIES = {
     "v8_holm": holm,
     "v9_pca": pca,
     "s10_run_tables": run_tables,
+    "r1_training_run": training_run,
     "r2_baselines": baselines,
     "r3_ablations": ablations,
     "r4_feature_drops": feature_drops,

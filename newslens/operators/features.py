@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from newslens.config import FACT_KEYWORDS, Lexicons
 from newslens.functions import text as tx
 from newslens.functions.scalars import clip01, let
+from newslens.operators.ordering import attach
+from newslens.runtime import materialize
 
 # Subjective suffixes, quote characters, and the quoting weights.
 SUBJECTIVE_SUFFIXES = ("ly", "ive", "ous")
@@ -159,30 +161,22 @@ def lexical_features(
 def lexicon_hits(df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """Token share in a lexicon *table* of any size, as ``(id, hits, tokens, share)``.
 
-    Tokens are counted per (id, word) before the shuffle, so a frequent word in
-    one text is one row; the join key is salted by id so a word that occurs in
-    every text does not end in one task. The optimiser broadcasts the lexicon
-    when it is small.
+    Tokens are counted per (id, word) before anything is joined. The join runs
+    on words with known frequency, so the few words that occur in a large part
+    of all texts are broadcast with their verdict instead of meeting in one task.
     """
-    salts = 16
     ws = df.select(id_col, tx.clean_words(tx.squeeze(F.coalesce(F.col(text), F.lit("")))).alias("_w"))
     # the outer form keeps texts without words and spares a second tokenising for a size filter
-    counted = (
-        ws.select(id_col, F.explode_outer("_w").alias("word"))
-        .groupBy(id_col, "word")
-        .agg(F.count("word").alias("_n"))
-        .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    counted = materialize(
+        ws.select(id_col, F.explode_outer("_w").alias("word")).groupBy(id_col, "word").agg(F.count("word").alias("_n")),
+        "text-words",
     )
-    vocabulary = (
-        lexicon.select(F.lower(F.trim("word")).alias("word"))
-        .filter("word <> ''")
-        .distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .withColumn("_hit", F.lit(1))
-    )
-    per_text = (
-        counted.join(vocabulary, ["word", "_salt"], "left")
-        .groupBy(id_col)
+    known = lexicon.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().withColumn("_hit", F.lit(1))
+    frequency = counted.groupBy("word").agg(F.count(F.lit(1)).alias("_rows"))
+    judged = materialize(frequency.join(known, "word", "left").fillna(0, ["_hit"]), "word-verdicts")
+    joined = attach(counted, judged, "word", ["_hit"], "_rows", counted.count(), [id_col])
+    return (
+        joined.groupBy(id_col)
         .agg(F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(0)).alias("hits"), F.sum("_n").alias("tokens"))
+        .withColumn("share", F.col("hits") / F.greatest(F.lit(1), F.col("tokens")))
     )
-    return per_text.withColumn("share", F.col("hits") / F.greatest(F.lit(1), F.col("tokens")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,12 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="newslens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_fallback()
+
+
+@cache
+def _local_fallback() -> str:
+    return tempfile.mkdtemp(prefix="newslens-")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

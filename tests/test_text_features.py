@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.config import Lexicons, RunSettings
 from newslens.functions import text as tx
+from newslens.operators import ordering
 from newslens.functions.encoders import hash_encoder, pick_encoder
 from newslens.operators.evidence import spaced_words, token_spans
 from newslens.operators.features import lexical_features, lexicon_hits, with_text_parts
@@ -96,7 +97,11 @@ def test_span_limit_and_record(spark):
     assert rec["PR"].evidence.notes == "single sentence"
 
 
-def test_lexicon_table_matches_literals(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_lexicon_table_matches_literals(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(ordering, "MIN_HOT_ROWS", 2)
+        monkeypatch.setattr(ordering, "HOT_SHARE", 10)
     texts = [(i, "good bad " * i + "other, words") for i in range(5)] + [(9, "")]
     df = spark.createDataFrame(texts, "id int, text string")
     words = spark.createDataFrame([("Good",), (" hoax ",), ("",)], "word string")
