@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, token_counts
+from newslens.llm import arrow_tokens, bpe_pairs, language_id, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_codes": language_id.op1_query,
+    "op3_toxicity": toxicity.op3_query,
     "op4_bpe_pairs": bpe_pairs.op4_query,
     "op6_arrow_tokens": arrow_tokens.op6_query,
     "op7_token_counts": token_counts.op7_query,
