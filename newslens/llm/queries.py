@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, language_id, token_counts, toxicity
+from newslens.llm import arrow_tokens, bpe_pairs, decontamination, language_id, token_counts, toxicity
 
 QUERIES = {
     "op1_language_codes": language_id.op1_query,
@@ -10,6 +10,9 @@ QUERIES = {
     "op4_bpe_pairs": bpe_pairs.op4_query,
     "op6_arrow_tokens": arrow_tokens.op6_query,
     "op7_token_counts": token_counts.op7_query,
+    "op10_decontamination": decontamination.op10_query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_decontamination": decontamination.ORACLE,
+}
