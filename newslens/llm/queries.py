@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, decontamination, language_id, token_counts, toxicity
+from newslens.llm import arrow_tokens, bpe_pairs, decontamination, language_id, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_language_codes": language_id.op1_query,
+    "op2_credential_links": secrets.op2_query,
     "op3_toxicity": toxicity.op3_query,
     "op4_bpe_pairs": bpe_pairs.op4_query,
     "op6_arrow_tokens": arrow_tokens.op6_query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_credential_links": secrets.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
