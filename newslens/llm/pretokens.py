@@ -197,6 +197,23 @@ def specials_in(data: np.ndarray, borders: np.ndarray, specials: dict[bytes, int
     return kept
 
 
+def mixing_table(seed: int = 20) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, HASHED_POSITIONS * 256, np.uint64, endpoint=False)
+
+
+def segment_hashes(mix: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit tabulation hashes of segments that cover ``data`` without gaps."""
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    long = lengths > HASHED_POSITIONS
+    if long.any():
+        place = np.minimum(place, HASHED_POSITIONS - 1)
+    h = np.add.reduceat(mix[(place << 8) + data], starts)
+    for i in np.flatnonzero(long):
+        piece = data[starts[i] : starts[i] + lengths[i]].tobytes()
+        h[i] = int.from_bytes(blake2b(piece, digest_size=8).digest(), "little")
+    return h
+
+
 class Vocabulary:
     """What the vocabulary file says: merge ranks over byte symbols, token bytes, special tokens."""
 
@@ -238,8 +255,7 @@ class PieceTable:
 
     def __init__(self, vocabulary: Vocabulary, solve: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | None]]):
         self.vocabulary, self.solve = vocabulary, solve
-        rng = np.random.default_rng(20)
-        self.mix = rng.integers(0, 1 << 64, HASHED_POSITIONS * 256, np.uint64, endpoint=False)
+        self.mix = mixing_table()
         self.clear()
 
     def clear(self) -> None:
@@ -248,17 +264,6 @@ class PieceTable:
         self.counts, self.offsets = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        place = np.arange(len(data)) - np.repeat(starts, lengths)
-        long = lengths > HASHED_POSITIONS
-        if long.any():
-            place = np.minimum(place, HASHED_POSITIONS - 1)
-        h = np.add.reduceat(self.mix[(place << 8) + data], starts)
-        for i in np.flatnonzero(long):
-            piece = data[starts[i] : starts[i] + lengths[i]].tobytes()
-            h[i] = int.from_bytes(blake2b(piece, digest_size=8).digest(), "little")
-        return np.where(h == 0, np.uint64(1), h)  # 0 marks a free slot
-
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         mask = (1 << self.bits) - 1
@@ -325,7 +330,8 @@ class PieceTable:
                 inside[s + 1 : e] = True
             starts = starts[~inside[starts]]
         lengths = np.diff(np.append(starts, len(data)))
-        h = self._hashes(data, starts, lengths)
+        h = segment_hashes(self.mix, data, starts, lengths)
+        h[h == 0] = 1  # 0 marks a free slot
         entries = self._find(h)
         new = np.flatnonzero(entries < 0)
         if len(new):

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, decontamination, language_id, secrets, token_counts, toxicity
+from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, language_id, minhash, token_counts, toxicity
 
 QUERIES = {
     "op1_language_codes": language_id.op1_query,
-    "op2_credential_links": secrets.op2_query,
+    "op2_credential_links": credential_links.op2_query,
     "op3_toxicity": toxicity.op3_query,
     "op4_bpe_pairs": bpe_pairs.op4_query,
     "op6_arrow_tokens": arrow_tokens.op6_query,
     "op7_token_counts": token_counts.op7_query,
+    "op8_minhash": minhash.op8_query,
     "op10_decontamination": decontamination.op10_query,
 }
 
 ORACLE: dict[str, str] = {
-    "op2_credential_links": secrets.ORACLE,
+    "op2_credential_links": credential_links.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
