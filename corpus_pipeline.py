@@ -1,15 +1,77 @@
-"""A training-corpus pipeline over ``documents``; the stages are added as their operators are."""
+"""A training-corpus pipeline over ``documents``.
+
+Toxic documents go, one document of each near-duplicate group stays, contaminated documents go,
+personal data is masked, and what is left is encoded. Each stage reads what its predecessor wrote. A stage
+decides on its own input: models are trained anew on the documents it gets.
+
+Defined results: an empty table passes through every stage; null texts are kept (they are neither
+toxic nor duplicates nor contaminated) and encode to nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newslens.llm import bpe_pairs, decontamination, minhash, pii, toxicity
+from newslens.runtime import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(*toxicity.labelled_documents(docs, labels))
+    scored = toxicity.score(docs, model, out="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays; of repeated rows of that id, one."""
+    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
+    kept = groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_size"))
+    mine = docs.join(kept, "doc_id", "left")
+    once = mine.filter(F.col("doc_id").isNull() | (F.col("_rows") == 1) | (F.col("_size") == 0)).select(*docs.columns)
+    repeated = mine.filter((F.col("_rows") > 1) & (F.col("_size") > 0)).select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans become the name of their kind; ``n_chars`` follows where the text changed."""
+    model = pii.train(docs, "doc_id", "text")
+    masked = pii.mask(docs.withColumn("_before", F.xxhash64("text")), model)
+    changed = F.xxhash64("text") != F.col("_before")
+    counted = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", counted).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, source, n_tokens, ids, decoded_sha256)``: the ids, and a digest of what they decode to."""
+    vocab = bpe_pairs.vocabulary_path()
+    coded = bpe_pairs.encode(docs.select("doc_id", "lang", "source", "text"), vocab, out="ids").drop("text")
+    decoded = bpe_pairs.decode(coded, vocab, ids="ids", out="_decoded")
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("encoding", encode),
+]
 
-STAGES: list = []
+# Trained models and merge loops are beyond SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

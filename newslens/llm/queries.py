@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, language_id, minhash, token_counts, toxicity
+from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, language_id, minhash, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_language_codes": language_id.op1_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_arrow_tokens": arrow_tokens.op6_query,
     "op7_token_counts": token_counts.op7_query,
     "op8_minhash": minhash.op8_query,
+    "op9_pii": pii.op9_query,
     "op10_decontamination": decontamination.op10_query,
 }
 
