@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, language_id, minhash, pii, token_counts, toxicity
+from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, language_id, minhash, nn_descent, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_language_codes": language_id.op1_query,
     "op2_credential_links": credential_links.op2_query,
     "op3_toxicity": toxicity.op3_query,
     "op4_bpe_pairs": bpe_pairs.op4_query,
+    "op5_nn_descent": nn_descent.op5_query,
     "op6_arrow_tokens": arrow_tokens.op6_query,
     "op7_token_counts": token_counts.op7_query,
     "op8_minhash": minhash.op8_query,
