@@ -16,24 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.llm import bpe_pairs, decontamination, minhash, pii, toxicity
+from newslens.llm.columns import free_name
 from newslens.runtime import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(*toxicity.labelled_documents(docs, labels))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    out = free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).filter(F.col(out) < toxicity.THRESHOLD).drop(out)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; of repeated rows of that id, one."""
     groups = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_size"))
-    mine = docs.join(kept, "doc_id", "left")
-    once = mine.filter(F.col("doc_id").isNull() | (F.col("_rows") == 1) | (F.col("_size") == 0)).select(*docs.columns)
-    repeated = mine.filter((F.col("_rows") > 1) & (F.col("_size") > 0)).select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    kept = groups.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("size")
+    )
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
+    mine = mine.join(kept, F.col("own_id") == F.col("id"), "left")
+    once = mine.filter("own_id is null or n_rows = 1 or size = 0")
+    repeated = mine.filter("n_rows > 1 and size > 0").dropDuplicates(["own_id"])
+    return once.select("row.*").unionByName(repeated.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans become the name of their kind; ``n_chars`` follows where the text changed."""
     model = pii.train(docs, "doc_id", "text")
-    masked = pii.mask(docs.withColumn("_before", F.xxhash64("text")), model)
-    changed = F.xxhash64("text") != F.col("_before")
+    before = free_name(docs, "_before")
+    masked = pii.mask(docs.withColumn(before, F.xxhash64("text")), model)
+    changed = F.xxhash64("text") != F.col(before)
     counted = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return masked.withColumn("n_chars", counted).select(*docs.columns)
 

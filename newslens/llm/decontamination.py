@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The 13-word windows of the benchmark (an item with fewer words is one window) are a broadcast hash
-table. Training texts are scanned window by window: a map of window hashes of 64 kB, the same
+table. Training texts are scanned window by window: a map of window hashes of 256 kB, the same
 size for any benchmark, rules out most windows; only the text of the others leaves the row
 and meets the table, and equality of the whole window text verifies the hit. A benchmark with
 more than ``BROADCAST_WINDOWS`` windows is joined by a shuffle instead; the result is the same.
@@ -21,7 +21,7 @@ from newslens.functions.scalars import let
 
 WINDOW = 13
 SHARE = 20  # contaminated if at least one word in so many is hit
-MAP_BITS = 16
+MAP_BITS = 18
 BROADCAST_WINDOWS = 500_000
 # The characters that separate words, for text in lower case and as written.
 BETWEEN_LOWER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,9 +76,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
     ``hits`` are the sorted ``(at, length)`` of the windows found, ``items`` the ids of their items.
     """
     windows = benchmark_windows(benchmark, window=window).persist()
-    sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # entries of the table: a window counts once for every item that has it
+    sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.sum(F.size("items")).alias("n")).collect()}
     known = F.lit(slot_map(windows))
-    marker = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("gram")))
 
     def found_of(words: Column, slots: Column, length: int) -> Column:
         """The windows of one length whose slot is taken, with their text."""
@@ -95,22 +95,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
         return F.transform(F.filter(_places(words, length), seen), entry)
 
     def candidates(words: Column, slots: Column) -> Column:
-        found = F.concat(marker, *[found_of(words, slots, n) for n in sorted(sizes)])
-        return F.struct(F.size(words).cast("bigint").alias("n_words"), found.alias("found"))
+        # the first entry stands for the row itself and carries its number of words
+        marker = F.struct(F.lit(0).alias("at"), F.size(words).alias("length"), F.lit(None).cast("string").alias("gram"))
+        return F.concat(F.array(marker), *[found_of(words, slots, n) for n in sorted(sizes)])
 
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text).alias("text_hash"),
-        let(words_of(F.col(text)), lambda w: let(known, lambda m: candidates(w, m))).alias("scan"),
+        F.explode(let(words_of(F.col(text)), lambda w: let(known, lambda m: candidates(w, m)))).alias("c"),
     )
-    rows = rows.select("id", "text_hash", F.col("scan.n_words").alias("n_words"), F.explode("scan.found").alias("c"))
-    rows = rows.select("id", "text_hash", "n_words", "c.at", "c.length", "c.gram")
+    rows = rows.select("id", "text_hash", "c.at", "c.length", "c.gram")
     table = windows.select("gram", "length", "items")
     if sum(sizes.values()) <= BROADCAST_WINDOWS:
         table = F.broadcast(table)
     met = rows.join(table, ["gram", "length"], "left").filter((F.col("at") == 0) | F.col("items").isNotNull())
     hit = F.when(F.col("at") > 0, F.struct("at", "length"))
-    return met.groupBy("id", "text_hash", "n_words").agg(
+    return met.groupBy("id", "text_hash").agg(
+        F.max(F.when(F.col("at") == 0, F.col("length"))).cast("bigint").alias("n_words"),
         F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n_rows"),
         F.sort_array(F.collect_set(hit)).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -144,19 +145,20 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, window: int) -> DataFrame:
-    """``docs`` with ``_hits`` and ``_words``; only texts with hits are on the other side of the join."""
-    found = scan(docs, benchmark, id_col, text, window).filter(F.size("hits") > 0)
-    found = found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_words").alias("_words"), F.col("hits").alias("_hits"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return keyed.join(found, same, "left").drop("_id", "_hash", "_text_hash")
+    """``row`` (all columns of ``docs``), ``hits`` and ``n_words``; only texts with hits are on the other side of the join."""
+    found = scan(docs, benchmark, id_col, text, window).filter(F.size("hits") > 0).select("id", "text_hash", "n_words", "hits")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_hash")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))
+    return keyed.join(found, same, "left").select("row", "n_words", "hits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged."""
     marked = _with_hits(docs, benchmark, id_col, text, window)
-    bad = F.coalesce(share * words_hit(F.col("_hits")) >= F.col("_words"), F.lit(False))
-    return marked.filter(~bad).select(*docs.columns)
+    bad = F.coalesce(share * words_hit(F.col("hits")) >= F.col("n_words"), F.lit(False))
+    return marked.filter(~bad).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -169,13 +171,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shift = F.when(F.get(pieces, F.lit(0)) == "", 0).otherwise(1)  # a text may begin with a separator
 
         def kept(p: Column, s: Column, b: Column) -> Column:
-            inside = lambda i: F.exists("_hits", lambda h: (h["at"] <= i + s) & (i + s < h["at"] + h["length"]))
+            inside = lambda i: F.exists("hits", lambda h: (h["at"] <= i + s) & (i + s < h["at"] + h["length"]))
             return F.transform(p, lambda w, i: F.when((w != "") & inside(i), "").otherwise(F.concat(w, F.coalesce(F.get(b, i), F.lit("")))))
 
         return F.array_join(let(pieces, lambda p: let(shift, lambda s: let(between, lambda b: kept(p, s, b)))), "")
 
-    cleaned = F.when(F.col("_hits").isNotNull(), cut(F.col(text))).otherwise(F.col(text))
-    return marked.withColumn(text, cleaned).select(*docs.columns)
+    value = F.col(f"row.{text}")
+    cleaned = F.when(F.col("hits").isNotNull(), cut(value)).otherwise(value)
+    return marked.select(
+        *[cleaned.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    )
 
 
 def op10_query(spark: SparkSession, sf: str) -> DataFrame:

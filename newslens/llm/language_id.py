@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newslens.llm.columns import free_name
 from newslens.llm.ngrams import LETTERS, hashed_ngrams
 
 ORDERS = (1, 2, 3, 4)
@@ -105,7 +106,8 @@ class Model:
         loss = self.losses(counts)
         belief = np.exp(-SHARPNESS * (loss - loss.min(axis=1, keepdims=True)))
         best = loss.argmin(axis=1)
-        return best, belief.max(axis=1) / belief.sum(axis=1)
+        # rounded: the order of sums in a matrix product depends on the rows beside it
+        return best, np.round(belief.max(axis=1).astype(np.float64) / belief.sum(axis=1), 5)
 
 
 def fit(features: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
@@ -160,9 +162,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``ambiguous`` (the nearest codeword is not clearly nearest)."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous", "_letters")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     added = "lang_pred string, score double, ambiguous boolean"
-    with_text = docs.select(*names, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    with_text = docs.select(*names, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "_letters")))
     schema = docs.select(*names).schema
     for field in added.split(", "):
         schema = schema.add(*field.split(" "))
