@@ -3,16 +3,16 @@
 1. One pass over the texts makes the set of distinct 2-word shingles (64-bit hashes), a digest of
    the set, a signature of ``BANDS * ROWS`` minima and the key of every band. Equal sets are one
    node from here on, so exact copies never meet each other.
-2. Nodes that share a band are candidates. Buckets are never expanded into all pairs: in each of
-   ``STAR_ROUNDS`` linear rounds every member is compared with one other member of its buckets
-   that lies in another component, and components are contracted. Buckets that have become one
-   component are done.
-3. In what is left, members outside the largest component of their bucket are compared with the
-   whole bucket, in packed blocks of about ``BLOCK`` signatures, so neither a row per pair nor an
-   unbounded group arises. The blocks of a bucket with m such members and n members are
-   ``m * n / BLOCK ** 2``.
-4. A comparison reads the signature in batches and stops as soon as the posterior probability of
-   the wanted similarity falls below ``MISS`` (BayesLSH). Survivors are verified on full sets.
+2. Nodes that share a band are candidates. A comparison reads the signatures in batches and stops as
+   soon as the posterior probability of the wanted similarity falls below ``MISS`` (BayesLSH). The
+   components of the pairs that survive are families; every link lies inside one.
+3. Members of a family are verified on full sets, and the components of the links are the result.
+
+Neither step expands a group into all pairs. In each of a few linear *star rounds* every member is
+compared with one member of another component of its bucket or family, and components are
+contracted. What is left, members outside the largest component, is compared with the whole bucket
+or family in packed blocks: m such members among n take ``m * n / block ** 2`` rows, each of bounded size,
+and a block pair returns no more links than it has members.
 
 A link at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 7e-7.
 
@@ -41,8 +41,10 @@ BANDS, ROWS = 27, 4
 PERCENT = 80
 BATCH = 12
 MISS = 1e-7
-BLOCK = 256
-STAR_ROUNDS = 3
+BLOCK = 256  # signatures in a block
+BLOCK_SHINGLES = 100_000  # shingles in a block of full sets
+COLUMNS = 8192
+STAR_ROUNDS = 2
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -126,7 +128,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
                 for j in range(k):
                     low[:, j] = np.minimum.reduceat((shingles * factor[j] + shift[j]) >> np.uint64(32), starts)
                 sums = np.stack([np.add.reduceat(shingles, starts), np.add.reduceat(mixed(shingles + _GOLD), starts), n.astype(np.uint64)], 1)
-                keys = np.zeros((len(rows), BANDS), np.uint64)
+                keys = np.tile(mixed(np.arange(BANDS, dtype=np.uint64)), (len(rows), 1))
                 for r in range(ROWS):
                     keys = mixed(keys * _GOLD + low[:, r::ROWS].astype(np.uint64))
                 short = low.astype(np.uint16)
@@ -176,10 +178,10 @@ def _signature_matrix(column: pa.Array) -> np.ndarray:
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """``(band, key, sid)`` of the buckets with at least two nodes, stored."""
-    rows = nodes.select("sid", F.posexplode("bands").alias("band", "key"))
-    full = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return materialize(rows.join(full, ["band", "key"]), "buckets")
+    """``(group, sid)`` of the buckets with at least two nodes, stored; the key of a band also says which band."""
+    rows = nodes.select("sid", F.explode("bands").alias("group"))
+    full = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return materialize(rows.join(full, "group"), "buckets")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -234,63 +236,147 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+def _components(links: list[DataFrame]) -> DataFrame:
+    every = reduce(DataFrame.unionByName, links)
+    return materialize(connected_components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
 
-def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their component, stored."""
+def _labelled(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(group, sid, comp)`` of the groups that hold more than one component, stored."""
     if roots is None:
-        named = buckets.withColumn("comp", F.col("sid"))
+        named = groups.select("group", "sid", F.col("sid").alias("comp"))
     else:
-        named = buckets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    mixed_ones = named.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed_ones = mixed_ones.filter("low < high").select("band", "key")
-    return materialize(named.join(mixed_ones, ["band", "key"], "left_semi"), "mixed-buckets")
+        named = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("group", "sid", F.coalesce("root", "sid").alias("comp"))
+    several = named.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    return materialize(named.join(several.select("group"), "group", "left_semi"), "mixed-groups")
 
 
 def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """At most one pair per member: with the first, in the order of this turn, of all its buckets."""
+    """At most one pair per member: with the first, in the order of this turn, of all its groups."""
     order = F.xxhash64(F.col("sid"), F.lit(turn)) if turn else F.col("sid")
-    hubs = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("order"), F.col("sid").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"))
-    met = members.join(hubs, ["band", "key"]).filter(F.col("comp") != F.col("h.hub_comp"))
+    hubs = members.groupBy("group").agg(F.min(F.struct(order.alias("order"), F.col("sid").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"))
+    met = members.join(hubs, "group").filter(F.col("comp") != F.col("h.hub_comp"))
     return met.groupBy("sid").agg(F.min("h").alias("h")).select(F.least("sid", "h.hub").alias("a"), F.greatest("sid", "h.hub").alias("b")).distinct()
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs across components: members outside their bucket's largest component against all members."""
-    sizes = members.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("n"))
-    placed = members.join(largest, ["band", "key"]).join(nodes.select("sid", "sig"), "sid")
-    placed = placed.withColumn("out", F.col("comp") != F.col("most.comp"))
-    rest = F.col("n") - F.col("most.size")
-    slot = lambda count: F.pmod(F.xxhash64("sid"), F.ceil(count / F.lit(BLOCK)).cast("bigint"))
+def _block_rows(members: DataFrame, payload: DataFrame, weight: str, limit: int) -> DataFrame:
+    """``(lefts, rights)``: blocks of members outside their group's largest component, against blocks of all.
+
+    ``payload`` has ``sid``, ``data`` and the weight; a block holds about ``limit`` of the weight.
+    """
+    placed = members.join(payload, "sid")
+    sizes = placed.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum(weight).alias("weight"))
+    most = sizes.groupBy("group").agg(F.max(F.struct("size", "comp", "weight")).alias("most"), F.sum("weight").alias("all"))
+    placed = placed.join(most, "group")
+
+    def packed(rows: DataFrame, total: Column, name: str) -> DataFrame:
+        slot = F.pmod(F.xxhash64("sid"), F.ceil(total / F.lit(limit)).cast("bigint"))
+        return rows.groupBy("group", slot.alias(name)).agg(F.collect_list(F.struct("sid", "comp", "data")).alias(f"{name}s"))
+
+    outside = placed.filter(F.col("comp") != F.col("most.comp"))
+    return packed(outside, F.col("all") - F.col("most.weight"), "left").join(packed(placed, F.col("all"), "right"), "group").select("lefts", "rights")
+
+
+def _sides(batch: pa.RecordBatch, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    for c in (0, 1):
+        entries = batch.column(c)[i].values
+        yield entries.field("sid").to_numpy(), entries.field("comp").to_numpy(), entries.field("data")
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a bipartite link matrix."""
+    edges, left_open, right_open = [], linked.any(axis=1), linked.any(axis=0)
+    while left_open.any():
+        front = np.array([int(left_open.argmax())])
+        left_open[front] = False
+        while len(front):
+            reach = linked[front] & right_open
+            new = np.flatnonzero(reach.any(axis=0))
+            edges += zip(front[reach[:, new].argmax(axis=0)].tolist(), new.tolist())
+            right_open[new] = False
+            back = linked[:, new] & left_open[:, None]
+            front = np.flatnonzero(back.any(axis=1))
+            edges += zip(front.tolist(), new[back[front].argmax(axis=1)].tolist() if len(front) else [])
+            left_open[front] = False
+    return edges
 
-    def packed(rows: DataFrame, count: Column, name: str) -> DataFrame:
-        entry = F.collect_list(F.struct("sid", "comp", "sig"))
-        return rows.withColumn(name, slot(count)).groupBy("band", "key", name).agg(entry.alias(f"{name}s"))
 
-    pairs = packed(placed.filter("out"), rest, "left").join(packed(placed, F.col("n"), "right"), ["band", "key"])
+def _linked_ids(ids: list[np.ndarray], linked: np.ndarray) -> pa.RecordBatch:
+    edges = np.array(spanning(linked), np.int64).reshape(-1, 2)
+    p, q = ids[0][edges[:, 0]], ids[1][edges[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+
+def likely_in_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of what the signatures do not rule out, across components; a spanning forest per block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (left, left_comp, x), (right, right_comp, y) = _sides(batch, i)
+                x, y = _signature_matrix(x), _signature_matrix(y)
+                linked = np.zeros((len(left), len(right)), bool)
+                for begin in range(0, len(left), 64):
+                    p, q = np.nonzero(left_comp[begin : begin + 64, None] != right_comp[None])
+                    kept = likely(x, y, p + begin, q)
+                    linked[p[kept] + begin, q[kept]] = True
+                yield _linked_ids([left, right], linked)
+
+    payload = nodes.select("sid", F.col("sig").alias("data"), F.lit(1).alias("one"))
+    return _block_rows(members, payload, "one", BLOCK).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as matrix products over slices of the shingles."""
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    every, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    total = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    cuts = np.searchsorted(place, np.arange(0, len(every) + COLUMNS, COLUMNS))
+    for k in range(len(cuts) - 1):
+        part = slice(cuts[k], cuts[k + 1])
+        table = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        table[owner[part], place[part] - k * COLUMNS] = 1
+        total += table[: len(left)] @ table[len(left) :].T
+    return total.astype(np.int64)
+
+
+def verified_in_blocks(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links on full sets across components, a spanning forest per block pair, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
-                left, right = (batch.column(c)[i].values for c in (0, 1))
-                ids = [x.field("sid").to_numpy() for x in (left, right)]
-                comps = [x.field("comp").to_numpy() for x in (left, right)]
-                sigs = [_signature_matrix(x.field("sig")) for x in (left, right)]
-                for begin in range(0, len(ids[0]), 64):
-                    part = slice(begin, begin + 64)
-                    x, y = np.nonzero(comps[0][part, None] != comps[1][None])
-                    x += begin
-                    kept = likely(sigs[0], sigs[1], x, y)
-                    p, q = ids[0][x[kept]], ids[1][y[kept]]
-                    a_all.append(np.minimum(p, q))
-                    b_all.append(np.maximum(p, q))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], names=["a", "b"])
-
-    return pairs.select("lefts", "rights").mapInArrow(run, "a bigint, b bigint").distinct()
+                (left, left_comp, x), (right, right_comp, y) = _sides(batch, i)
+                x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in side] for side in (x, y))
+                both = shared_counts(x, y)
+                union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None] - both
+                yield _linked_ids([left, right], (100 * both >= percent * union) & (left_comp[:, None] != right_comp[None]))
+
+    payload = sets.select("sid", F.col("shingles").alias("data"), (F.octet_length("shingles") / 8).alias("size_of"))
+    return materialize(_block_rows(members, payload, "size_of", BLOCK_SHINGLES).mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+
+
+def contracted(groups: DataFrame, rounds: int, by_pairs, by_blocks) -> DataFrame | None:
+    """Components ``(node, root)`` of the links inside groups ``(group, sid)``; None if there are none.
+
+    ``by_pairs`` keeps the linked ones of some pairs, ``by_blocks`` finds links across components.
+    """
+    found: list[DataFrame] = []
+    roots, members = None, _labelled(groups, None)
+    for turn in range(rounds + 1):
+        if members.isEmpty():
+            break
+        links = by_pairs(star_pairs(members, turn)) if turn < rounds else by_blocks(members)
+        if links.isEmpty():
+            continue  # nothing is contracted: the same groups, the next turn's pairs
+        found.append(links)
+        roots = _components(found)
+        if turn < rounds:
+            members = _labelled(members.drop("comp"), roots)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -299,22 +385,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     usable = rows.filter("id is not null and digest is not null")
     nodes = usable.groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("x"))
     nodes = materialize(nodes.select(F.col("x.id").alias("sid"), "digest", "x.bands", "x.sig"), "nodes")
-    buckets = shared_buckets(nodes)
-    members = _labelled(buckets, None)
-    sets = full_sets(docs, nodes.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "digest"), id_col, text)
-    found: list[DataFrame] = []
+    families = contracted(
+        shared_buckets(nodes),
+        star_rounds,
+        lambda pairs: materialize(likely_pairs(pairs, nodes), "likely"),
+        lambda members: materialize(likely_in_blocks(members, nodes), "likely"),
+    )
     roots = None
-    for turn in range(star_rounds + 1):
-        if members.isEmpty():
-            break
-        pairs = likely_pairs(star_pairs(members, turn), nodes) if turn < star_rounds else block_pairs(members, nodes)
-        links = verified(pairs, sets)
-        if links.isEmpty():
-            continue  # nothing is contracted: the same buckets, the next turn's pairs
-        found.append(links)
-        roots = materialize(_components(reduce(DataFrame.unionByName, found)), "roots")
-        if turn < star_rounds:
-            members = _labelled(members.drop("comp"), roots)
+    if families is not None:
+        groups = families.select(F.col("root").alias("group"), F.col("node").alias("sid"))
+        sets = full_sets(docs, nodes.join(groups.select("sid"), "sid", "left_semi").select("sid", "digest"), id_col, text)
+        roots = contracted(groups, star_rounds, lambda pairs: verified(pairs, sets), lambda members: verified_in_blocks(members, sets))
     classes = nodes.select("sid", "digest")
     if roots is None:
         classes = classes.select("digest", F.col("sid").alias("component"))
