@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newslens.llm.bilstm_crf import BiLstmCrf
 
@@ -221,7 +222,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, model: BiLstmCrf | None, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """Add ``out``: ``array<struct<kind, start, end, base>>`` by kind and start, over whole texts."""
     names = [c for c in docs.columns if c != out]
-    schema = docs.select(*names).schema.add(out, "array<struct<kind:string,start:int,end:int,base:boolean>>")
+    span = T.StructType().add("kind", "string").add("start", "int").add("end", "int").add("base", "boolean")
+    schema = docs.select(*names).schema.add(out, T.ArrayType(span))
     kind_of = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
