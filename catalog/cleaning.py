@@ -20,7 +20,7 @@ from newslens.functions import text as tx
 from newslens.functions.scalars import clip01, label_code, label_name, standard_label
 from newslens.operators import corpus, standardize as st
 from newslens.plans.datasets import process_custom, process_dataset, process_many
-from newslens.runtime import scratch_path, spread_small_scan
+from newslens.runtime import scratch_path, spread
 from newslens.sources import readers, writers
 
 
@@ -138,7 +138,7 @@ def label_codes(spark, sf):
 
 
 def _texts(spark, sf):
-    return spread_small_scan(documents(spark, sf).select("doc_id", "text"), "doc_id")
+    return spread(documents(spark, sf).select("doc_id", "text"), "doc_id")
 
 
 def _sents(text="text"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.config import Lexicons, RunSettings
 from newslens.functions import text as tx
-from newslens.runtime import spread_small_scan
+from newslens.runtime import spread
 
 # Words that occur in the supplied corpus; the default lexicons do not.
 LEX = Lexicons(("the", "of", "la", "der"), ("and", "with", "et", "und"), ("to", "in", "que", "zu"))
@@ -28,7 +28,7 @@ def first_sentence(text: Column) -> Column:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents as articles: quality is the 0/1 label, the first sentence the title."""
-    joined = spread_small_scan(documents(spark, sf), "doc_id").join(table(spark, sf, "labels"), "doc_id")
+    joined = spread(documents(spark, sf), "doc_id").join(table(spark, sf, "labels"), "doc_id")
     return joined.select(
         F.col("doc_id").alias("id"),
         first_sentence(F.col("text")).alias("title"),

@@ -28,13 +28,13 @@ from newslens.functions.scalars import cosine
 from newslens.operators.embedding import text_vectors, with_document_vectors
 from newslens.operators.features import lexical_features, lexicon_hits, with_text_parts
 from newslens.plans.training import article_evidence, article_features
-from newslens.runtime import materialize, spread_small_scan
+from newslens.runtime import materialize, spread
 
 FEATURES = (*FEATURE_ORDER, "FC")
 
 
 def _docs(spark, sf):
-    return spread_small_scan(documents(spark, sf).select("doc_id", "text", "lang", "source"), "doc_id")
+    return spread(documents(spark, sf).select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 def _nonzero(df, vector="A"):

@@ -18,13 +18,13 @@ from newslens.operators.fidelity import distance_correlation
 from newslens.operators.transition import fit_transition, transition_table, with_projection
 from newslens.plans import sweeps
 from newslens.plans import training as tr
-from newslens.runtime import materialize, scratch_path, spread_small_scan
+from newslens.runtime import materialize, scratch_path, spread
 
 LEXICAL = ("SR", "UL", "SP", "NC", "SQ", "FC")
 
 
 def _lexical(spark, sf):
-    docs = spread_small_scan(documents(spark, sf).select("doc_id", "text", "lang", "n_chars"), "doc_id")
+    docs = spread(documents(spark, sf).select("doc_id", "text", "lang", "n_chars"), "doc_id")
     return lexical_features(docs, "text", LEX).drop("text")
 
 
@@ -126,8 +126,8 @@ def report(spark, sf):
 
 def saved_evaluation(spark, sf):
     folder = scratch_path(spark, "run")
-    tr.run_training(articles(spark, sf), SETTINGS, 13, folder)
-    return tr.evaluate_saved(spark, f"{folder}/run-{SETTINGS.digest()}-13", "test")
+    run = tr.run_training(articles(spark, sf), SETTINGS, 13, folder)
+    return tr.evaluate_saved(spark, run.folder, "test")
 
 
 def fidelity(spark, sf):
@@ -151,7 +151,7 @@ def paired_test(spark, sf):
 
 def _source_tests(spark, sf):
     """One hypothesis per source: do texts use 'the, of, la, der' as often as 'and, with, et, und'?"""
-    docs = spread_small_scan(documents(spark, sf).select("doc_id", "text", "source"), "doc_id")
+    docs = spread(documents(spark, sf).select("doc_id", "text", "source"), "doc_id")
     df = lexical_features(docs, "text", LEX).withColumn("half", F.lit(0.65))
     return stats.paired_t_test(df, "SP", "half", by=["source"])
 
@@ -170,8 +170,7 @@ def pca(spark, sf):
 
 def run_tables(spark, sf):
     folder = scratch_path(spark, "run")
-    tr.run_training(articles(spark, sf), SETTINGS, 13, folder)
-    out = f"{folder}/run-{SETTINGS.digest()}-13"
+    out = tr.run_training(articles(spark, sf), SETTINGS, 13, folder).folder
     names = ("A", "B", "B_raw", "B_hat", "T", "minmax", "evidence", "predictions", "reports", "fidelity", "metrics", "splits")
     rows = None
     for n in names:
@@ -182,8 +181,8 @@ def run_tables(spark, sf):
 
 def training_run(spark, sf):
     folder = scratch_path(spark, "run")
-    tr.run_training(articles(spark, sf), SETTINGS, 13, folder)
-    return spark.read.parquet(f"{folder}/run-{SETTINGS.digest()}-13/metrics")
+    run = tr.run_training(articles(spark, sf), SETTINGS, 13, folder)
+    return spark.read.parquet(f"{run.folder}/metrics")
 
 
 def baselines(spark, sf):

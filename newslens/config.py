@@ -89,6 +89,9 @@ class RunSettings:
     max_body_sentences: int = 80
     lexicons: Lexicons = field(default_factory=Lexicons)
     fact_confirmation: bool = True
+    encoder: str = "hash"  # name of the encoder: tables of another encoder are other tables
+    max_token_spans: int | None = 30  # spans an evidence record keeps; None keeps all
+    max_keyword_spans: int | None = 10
     svd_tolerance: float = 1.0e-8
     classifier: str = "linear_svm"
     C: float = 1.0

@@ -40,7 +40,8 @@ def pick_encoder(backend: str = "hash", model: Callable[[], Encoder] | None = No
     """Encoder factory, called once per task.
 
     ``hash`` never loads a model; ``st`` needs one and lets its errors surface;
-    ``auto`` takes the model when it can be loaded and the hash otherwise.
+    ``auto`` decides here, before any task runs: the model if it can be loaded, the hash otherwise.
+    A task that later fails to load the chosen model fails, so one table never mixes two spaces.
     """
     if backend == "hash":
         return hash_encoder
@@ -53,10 +54,8 @@ def pick_encoder(backend: str = "hash", model: Callable[[], Encoder] | None = No
     if backend == "st":
         return model
 
-    def model_or_hash() -> Encoder:
-        try:
-            return model()
-        except Exception:
-            return hash_encoder()
-
-    return model_or_hash
+    try:
+        model()
+    except Exception:
+        return hash_encoder
+    return model

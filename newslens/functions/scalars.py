@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newslens.functions.text import SPACE
+
 # Label vocabulary and its binary code.
 FAKE_LABELS = ("fake", "false", "0", "f", "hoax", "rumor", "fabricated")
 REAL_LABELS = ("real", "true", "1", "t", "genuine", "authentic", "verified")
 LABEL_CODE = {"fake": 0, "real": 1}
 
 
+def stripped(value: Column) -> Column:
+    """Without white space, Unicode's included, at both ends."""
+    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def standard_label(label: Column) -> Column:
     """Free-form verdict to ``fake`` / ``real``; unknown verdicts stay, NULL stays NULL.
 
     Exact words win over contained words, and fake wins over real.
     """
-    v = F.trim(F.regexp_replace(F.lower(label.cast("string")), r"^\s+|\s+$", ""))
+    v = stripped(F.lower(label.cast("string")))
     return (
         F.when(v.isin(*FAKE_LABELS), "fake")
         .when(v.isin(*REAL_LABELS), "real")
@@ -37,7 +44,7 @@ def label_name(code: Column) -> Column:
 
 def strict_label_code(label: Column) -> Column:
     """As :func:`label_code`, but an unknown label fails the job."""
-    v = F.lower(F.trim(label))
+    v = F.lower(stripped(label))
     return F.coalesce(label_code(v), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(v, F.lit("NULL")))).cast("int"))
 
 

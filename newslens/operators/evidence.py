@@ -11,7 +11,7 @@ from newslens.functions.scalars import let
 from newslens.operators.features import in_lexicon, is_subjective, keyword_hits, quote_count
 
 SPAN = "array<struct<start:int,end:int>>"
-# How many spans a record keeps, and the notes of each feature.
+# How many spans a record keeps by default, and the notes of each feature.
 MAX_TOKEN_SPANS, MAX_KEYWORD_SPANS = 30, 10
 NOTES = {
     "PR": "pairwise cosine mean",
@@ -35,13 +35,14 @@ def spaced_words(text: Column, squeezed: Column) -> Column:
     return F.when(F.length(text) == F.length(squeezed), regular).otherwise(irregular)
 
 
-def token_spans(cleaned: Column, spaced: Column, test, limit: int = MAX_TOKEN_SPANS) -> Column:
-    """Character offsets of the first ``limit`` words whose cleaned form passes ``test``.
+def token_spans(cleaned: Column, spaced: Column, test, limit: int | None = MAX_TOKEN_SPANS) -> Column:
+    """Character offsets of the first ``limit`` words (None: of all) whose cleaned form passes ``test``.
 
     Offsets are exact for any spacing: a word ends where the text up to it ends.
     """
     numbered = F.transform(cleaned, lambda w, i: F.when(test(w), i))
-    hits = F.slice(F.filter(numbered, lambda i: i.isNotNull()), 1, limit)
+    hits = F.filter(numbered, lambda i: i.isNotNull())
+    hits = hits if limit is None else F.slice(hits, 1, limit)
     begin = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def walk(pieces: Column) -> Column:
@@ -62,14 +63,15 @@ def token_spans(cleaned: Column, spaced: Column, test, limit: int = MAX_TOKEN_SP
     return let(spaced, walk)
 
 
-def keyword_spans(text: Column) -> Column:
+def keyword_spans(text: Column, limit: int | None = MAX_KEYWORD_SPANS) -> Column:
     """First place of every keyword that occurs, in keyword order."""
     lowered = F.lower(text)
     places = [
         F.struct((F.instr(lowered, k) - 1).alias("start"), (F.instr(lowered, k) - 1 + len(k)).alias("end"))
         for k in FACT_KEYWORDS
     ]
-    return F.slice(F.filter(F.array(*places), lambda p: p["start"] >= 0), 1, MAX_KEYWORD_SPANS)
+    found = F.filter(F.array(*places), lambda p: p["start"] >= 0)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def _entry(name: str, spans: Column | None = None, notes: Column | None = None, **meta: Column) -> Column:
@@ -92,6 +94,8 @@ def with_evidence(
     lex: Lexicons | None = None,
     fact: bool = True,
     subjectivity_threshold: float = 0.5,
+    max_token_spans: int | None = MAX_TOKEN_SPANS,
+    max_keyword_spans: int | None = MAX_KEYWORD_SPANS,
 ) -> DataFrame:
     """Add ``evidence``, one entry per feature, to a frame that holds the feature columns, ``_squeezed``,
     ``_sents`` and ``_words``.
@@ -106,13 +110,13 @@ def with_evidence(
         _entry("PR", notes=F.when(n < 2, "single sentence").otherwise(NOTES["PR"]), pairs=F.expr("size(_sents) * (size(_sents) - 1) div 2")),
         _entry(
             "SR",
-            token_spans(F.col("_words"), F.col("_spaced"), lambda w: is_subjective(w, lex)),
+            token_spans(F.col("_words"), F.col("_spaced"), lambda w: is_subjective(w, lex), max_token_spans),
             threshold=F.lit(str(subjectivity_threshold)),
         ),
         _entry("HS"),
         _entry(
             "UL",
-            token_spans(F.col("_words"), F.col("_spaced"), lambda w: in_lexicon(w, lex.unusual)),
+            token_spans(F.col("_words"), F.col("_spaced"), lambda w: in_lexicon(w, lex.unusual), max_token_spans),
             lexicon_size=F.lit(len({w.strip().lower() for w in lex.unusual if w.strip()})),
         ),
         _entry("SP", notes=F.coalesce(empty, F.lit(NOTES["SP"])), n_sents=n),
@@ -121,7 +125,7 @@ def with_evidence(
     ]
     if fact:
         entries.append(
-            _entry("FC", keyword_spans(raw), keywords_checked=F.lit(len(FACT_KEYWORDS)), hits=keyword_hits(raw))
+            _entry("FC", keyword_spans(raw, max_keyword_spans), keywords_checked=F.lit(len(FACT_KEYWORDS)), hits=keyword_hits(raw))
         )
     spaced = df.withColumn("_spaced", spaced_words(raw, F.col("_squeezed")))
     return spaced.withColumn("evidence", F.array(*entries)).drop("_spaced")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from newslens.functions.hashing import simhash64
 from newslens.functions.scalars import hamming
 from newslens.operators.ordering import attach
-from newslens.runtime import materialize, spread_small_scan
+from newslens.runtime import materialize, spread
 
 BITS = 64
 # The band layout of the method, 8 bands of 8 bits.
@@ -31,7 +31,7 @@ MAX_COPIES = 600
 
 def signatures(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """``(id, sig)`` per row; narrow."""
-    rows = spread_small_scan(docs.select(id_col, text), id_col)
+    rows = spread(docs.select(id_col, text), id_col)
     return rows.select(F.col(id_col).alias("id"), simhash64(text).alias("sig"))
 
 

@@ -96,7 +96,7 @@ def require_valid(df: DataFrame, rules: Cleaning) -> DataFrame:
     if rules.min_samples_per_class is None and rules.allowed_labels is None:
         return df
     report = validation_report(df, rules.min_samples_per_class or 0, rules.allowed_labels)
-    bad = report.filter(~F.col("enough") | ~F.col("known")).limit(20).collect()
+    bad = report.filter(~F.col("enough") | ~F.col("known")).collect()
     if bad:
         raise ValueError(f"labels failed validation: {[(r.label, r.n) for r in bad]}")
     return df

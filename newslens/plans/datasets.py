@@ -47,10 +47,15 @@ def process_custom(
     name: str = "custom",
     cleaning: Cleaning | None = None,
     out: str | None = None,
+    stored_as: str = "parquet",
+    multiline: bool = True,
 ) -> DataFrame:
-    """A local or shared folder with a column mapping given by the caller."""
+    """A local or shared folder with a column mapping given by the caller.
+
+    ``multiline=False`` lets one large file be read by many tasks; it must hold no line breaks inside quotes.
+    """
     spec = DatasetSpec(name, tuple(patterns), fmt, tuple(text_columns), label_column, title_column, None, cleaning)
-    return process_dataset(spark, spec, folder, out)
+    return process_dataset(spark, spec, folder, out, stored_as, multiline=multiline)
 
 
 def process_many(
@@ -61,6 +66,8 @@ def process_many(
     registry: Mapping[str, DatasetSpec] = DATASETS,
     combined: bool = False,
     balanced: bool = True,
+    stored_as: str = "parquet",
+    multiline: bool = True,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Process several datasets; one that fails does not stop the others.
 
@@ -75,11 +82,11 @@ def process_many(
             status.append((name, "skipped", None, "unknown dataset"))
             continue
         try:
-            df = process_dataset(spark, registry[name], folders[name], out)
+            df = process_dataset(spark, registry[name], folders[name], out, stored_as, multiline=multiline)
             status.append((name, "ok", df.count(), None))
             done.append(df)
         except Exception as e:
-            status.append((name, "failed", None, f"{type(e).__name__}: {str(e)[:500]}"))
+            status.append((name, "failed", None, f"{type(e).__name__}: {e}"))
     table = spark.createDataFrame(status, STATUS)
     if not combined or not done:
         return table, None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.config import RunSettings
+from newslens.functions.encoders import Encoder, hash_encoder
 from newslens.operators.classify import KINDS
 from newslens.plans.training import (
     RUN_KEYS,
     article_features,
+    corpus_digest,
     evaluation_rows,
     fit,
     metrics_table,
@@ -38,9 +40,15 @@ def _sweep(features: DataFrame, splits: DataFrame, settings: RunSettings, seed:
     return scored
 
 
-def run_baselines(articles: DataFrame, settings: RunSettings, folder: str, kinds: Sequence[str] = KINDS) -> DataFrame:
+def run_baselines(
+    articles: DataFrame,
+    settings: RunSettings,
+    folder: str,
+    kinds: Sequence[str] = KINDS,
+    encoder: Callable[[], Encoder] = hash_encoder,
+) -> DataFrame:
     """Every classifier on every split seed. Features and splits are computed once."""
-    features, splits = stage_tables(articles, settings, folder)
+    features, splits = stage_tables(articles, settings, folder, encoder)
     scored = []
     for seed in settings.seeds[: settings.n_splits]:
         scored += _sweep(features, splits, settings, seed, kinds)
@@ -54,16 +62,17 @@ def run_ablations(
     kinds: Sequence[str] = KINDS,
     weights: Iterable[tuple[float, float, float]] = WEIGHT_GRID,
     drops: Iterable[tuple[str, ...]] = ((),),
+    encoder: Callable[[], Encoder] = hash_encoder,
 ) -> DataFrame:
     """Grid of classifier x embedding weights x dropped features on the first seed.
 
     Weights change the feature table, so they are the outer loop; the other two
     reuse it.
     """
-    seed, scored = settings.seeds[0], []
+    seed, scored, corpus = settings.seeds[0], [], corpus_digest(articles)
     for w in weights:
         weighted = replace(settings, weights=tuple(w))
-        features, splits = stage_tables(articles, weighted, folder)
+        features, splits = stage_tables(articles, weighted, folder, encoder, corpus)
         for drop in drops:
             marks = {"weights": F.lit("/".join(map(str, w))), "dropped": F.lit("+".join(drop))}
             one = replace(weighted, drop_features=tuple(drop))
@@ -81,11 +90,18 @@ def summarize(metrics: DataFrame, by: Sequence[str] = ("kind", "split")) -> Data
     )
 
 
-def cross_source(articles: DataFrame, settings: RunSettings, train_on: str, test_on: Sequence[str], seed: int) -> DataFrame:
-    """Train on one source and test on others, whole sources each."""
+def cross_source(
+    articles: DataFrame,
+    settings: RunSettings,
+    train_on: str,
+    test_on: Sequence[str],
+    seed: int,
+    encoder: Callable[[], Encoder] = hash_encoder,
+) -> DataFrame:
+    """Train on one source and test on others, whole sources each, whatever they are called."""
     wanted = articles.filter(F.col("source").isin(train_on, *test_on))
-    features = article_features(wanted, settings)
-    role = F.when(F.col("source") == train_on, "train").otherwise(F.col("source"))
-    prepared = prepare(materialize(features, "xgen").withColumn("split", role), settings, transition=False)
-    scored = evaluation_rows(fit(prepared, settings, seed).predict(prepared.rows), settings, seed)
+    features = article_features(wanted, settings, encoder).withColumn("split", F.col("source"))
+    rows = materialize(features.withColumn("trained", F.col("source") == train_on), "xgen")
+    prepared = prepare(rows, settings, transition=False, train="trained")
+    scored = evaluation_rows(fit(prepared, settings, seed).predict(prepared.rows), settings, seed, "trained")
     return metrics_table(materialize(scored, "xgen-scored"), RUN_KEYS).withColumn("trained_on", F.lit(train_on))

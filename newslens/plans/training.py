@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +21,12 @@ from newslens.operators.features import lexical_features
 from newslens.operators.fidelity import distance_correlation
 from newslens.operators.splits import article_groups, select_split, stratified_splits
 from newslens.operators.transition import fit_transition, transition_table, with_projection
-from newslens.runtime import materialize, spread_small_scan
+from newslens.runtime import exists, materialize, spread
 from newslens.sources.writers import write_splits, write_tables
 
-FEATURE_FIELDS = ("weights", "max_body_sentences", "lexicons", "fact_confirmation")
+FEATURE_FIELDS = ("weights", "max_body_sentences", "lexicons", "fact_confirmation", "encoder", "max_token_spans", "max_keyword_spans")
 RUN_KEYS = ("seed", "kind", "run", "split")
+TRAIN = "split = 'train'"
 SPLIT_FIELDS = ("seeds", "n_splits", "ratio", "dedupe", "max_bits")
 
 
@@ -37,7 +37,7 @@ def article_features(
 
     One narrow pass over the text: no shuffle whatever the size.
     """
-    base = spread_small_scan(articles, "id")
+    base = spread(articles, "id")
     lexical = lexical_features(base, "text", settings.lexicons, settings.fact_confirmation, keep_parts=True)
     out = with_document_vectors(
         lexical.withColumn("_lead", tx.lead(F.col("_sents"))),
@@ -50,7 +50,14 @@ def article_features(
     )
     names = FEATURE_ORDER + (("FC",) if settings.fact_confirmation else ())
     if evidence:
-        out = with_evidence(out, "text", settings.lexicons, settings.fact_confirmation)
+        out = with_evidence(
+            out,
+            "text",
+            settings.lexicons,
+            settings.fact_confirmation,
+            max_token_spans=settings.max_token_spans,
+            max_keyword_spans=settings.max_keyword_spans,
+        )
     return out.select("id", "label", "source", "A", *names, *(["evidence"] if evidence else []))
 
 
@@ -61,35 +68,44 @@ def article_evidence(articles: DataFrame, settings: RunSettings, encoder: Callab
 
 
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage table by name: read when it exists, otherwise built and written once."""
+    """A stage table by name: read when it was written to its end, otherwise built and written once."""
     path = f"{folder.rstrip('/')}/{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def corpus_digest(articles: DataFrame) -> str:
-    """Row count and order-free content hash, so a stage table is never reused for other rows."""
-    n, x = articles.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "title", "text", "label"))).first()
-    return f"{n}-{(x or 0) & (2**64 - 1):016x}"
+    """Row count and order-free content hash, so a stage table is never reused for other rows.
+
+    Every column a stage table depends on counts, and where it is NULL; the sum (unlike an xor) also sees
+    doubled rows. Ids must be unique, because groups and splits are joined by them.
+    """
+    columns = ("id", "title", "text", "label", "source")
+    content = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).cast("decimal(38,0)")
+    doubled = articles.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).collect()
+    if doubled:
+        raise ValueError(f"ids must be unique and not null: {doubled[0].id!r} has {doubled[0].n} rows")
+    n, total = articles.agg(F.count(F.lit(1)), F.sum(content)).first()
+    return f"{n}-{int(total or 0) % 2**64:016x}"
 
 
 def stage_tables(
-    articles: DataFrame, settings: RunSettings, folder: str, encoder: Callable[[], Encoder] = hash_encoder, tag: str = "hash"
+    articles: DataFrame, settings: RunSettings, folder: str, encoder: Callable[[], Encoder] = hash_encoder, corpus: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Features and splits, addressed by the rows and the settings they depend on.
 
-    Sweeps over classifiers or dropped features find both tables again. ``tag``
-    names the encoder.
+    Sweeps over classifiers or dropped features find both tables again, and give the digest of the
+    ``corpus`` so that the rows are read for it only once. ``settings.encoder`` names the encoder.
     """
+    if encoder is not hash_encoder and settings.encoder == "hash":
+        raise ValueError("settings.encoder must name the encoder")
     spark = articles.sparkSession
-    corpus = corpus_digest(articles)
+    corpus = corpus or corpus_digest(articles)
     features = stored(
         spark,
         folder,
-        f"features-{tag}-{corpus}-{settings.digest(*FEATURE_FIELDS)}",
+        f"features-{settings.encoder}-{corpus}-{settings.digest(*FEATURE_FIELDS)}",
         lambda: article_features(articles, settings, encoder, evidence=True),
     )
 
@@ -108,19 +124,20 @@ class Prepared:
     minmax: DataFrame
     T: np.ndarray | None
     features: tuple[str, ...]
+    train: str
 
     @property
     def train_rows(self) -> DataFrame:
-        return self.rows.filter("split = 'train'")
+        return self.rows.filter(self.train)
 
 
-def prepare(rows: DataFrame, settings: RunSettings, transition: bool = True) -> Prepared:
-    """Calibrate on the training rows, then fit the transition on them. ``rows`` holds ``split``."""
+def prepare(rows: DataFrame, settings: RunSettings, transition: bool = True, train: str = TRAIN) -> Prepared:
+    """Calibrate on the training rows (those for which ``train`` holds), then fit the transition on them."""
     features = settings.features
-    params = fit_minmax(rows.filter("split = 'train'"), features)
+    params = fit_minmax(rows.filter(train), features)
     scaled = materialize(apply_minmax(rows, params), "run-rows")
-    t = fit_transition(scaled.filter("split = 'train'"), "A", features, settings.svd_tolerance) if transition else None
-    return Prepared(scaled, params, t, features)
+    t = fit_transition(scaled.filter(train), "A", features, settings.svd_tolerance) if transition else None
+    return Prepared(scaled, params, t, features, train)
 
 
 def rows_of_seed(features: DataFrame, splits: DataFrame, seed: int) -> DataFrame:
@@ -139,10 +156,10 @@ def metrics_table(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return binary_metrics(scored, by=by).join(F.broadcast(auc), list(by))
 
 
-def evaluation_rows(scored: DataFrame, settings: RunSettings, seed: int) -> DataFrame:
-    """Scored val and test rows, marked with the run they belong to."""
+def evaluation_rows(scored: DataFrame, settings: RunSettings, seed: int, train: str = TRAIN) -> DataFrame:
+    """Scored rows that were not trained on, marked with the run they belong to."""
     marks = {"seed": F.lit(seed), "kind": F.lit(settings.classifier), "run": F.lit(settings.digest())}
-    return scored.filter("split <> 'train'").withColumns(marks).select(*RUN_KEYS, "id", "label", "pred", "score")
+    return scored.filter(f"not ({train})").withColumns(marks).select(*RUN_KEYS, "id", "label", "pred", "score")
 
 
 @dataclass(frozen=True)
@@ -153,6 +170,7 @@ class Run:
     classifier: Classifier
     scored: DataFrame
     metrics: DataFrame
+    folder: str | None = None
 
 
 def fit_and_score(features: DataFrame, splits: DataFrame, settings: RunSettings, seed: int) -> Run:
@@ -165,17 +183,18 @@ def fit_and_score(features: DataFrame, splits: DataFrame, settings: RunSettings,
 def run_training(
     articles: DataFrame, settings: RunSettings, seed: int, folder: str, encoder: Callable[[], Encoder] = hash_encoder
 ) -> Run:
-    """Train and evaluate one seed and save every table of the run below ``folder``.
+    """Train and evaluate one seed and save every table of the run in ``Run.folder``, below ``folder``.
 
-    ``articles`` holds id, title, text, label (0/1) and source.
+    ``articles`` holds id, title, text, label (0/1) and source. The run's folder is named by rows, settings and seed.
     """
     spark = articles.sparkSession
-    features, splits = stage_tables(articles, settings, folder, encoder)
+    corpus = corpus_digest(articles)
+    features, splits = stage_tables(articles, settings, folder, encoder, corpus)
     run = fit_and_score(features, splits, settings, seed)
     names = run.prepared.features
     hats = [f"{n}_hat" for n in names]
     val = run.scored.filter("split = 'val'")
-    out = f"{folder.rstrip('/')}/run-{settings.digest()}-{seed}"
+    out = f"{folder.rstrip('/')}/run-{corpus}-{settings.digest()}-{seed}"
     reports = [
         classification_report(run.scored.filter(F.col("split") == s)).withColumn("split", F.lit(s)) for s in ("val", "test")
     ]
@@ -197,7 +216,7 @@ def run_training(
     )
     write_splits(select_split(splits, seed), f"{out}/splits")
     run.classifier.save(f"{out}/classifier")
-    return run
+    return replace(run, folder=out)
 
 
 def evaluate_saved(spark: SparkSession, run_folder: str, split: str = "test") -> DataFrame:

@@ -7,10 +7,8 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Spark's default size of one input split.
-SPLIT_BYTES = 128 * 1024 * 1024
+MAP_TASKS = "spark.newslens.mapTasks"
 
 
 def build_session(app: str = "newslens", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,6 +21,7 @@ def build_session(app: str = "newslens", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config(MAP_TASKS, str(shuffle_partitions))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -53,6 +52,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/newslens/{tag}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file exists in whatever store the path names."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(file)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a written table in the shared scratch folder.
 
@@ -65,17 +70,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small_scan(df: DataFrame, by: str) -> DataFrame:
-    """Give a CPU-heavy map at least one task per core.
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Give a CPU-heavy map as many tasks as the session asks for with ``spark.newslens.mapTasks``.
 
-    A few small files become a few tasks, whatever the cluster size. Only when
-    there are fewer files than cores, and together they are smaller than one
-    input split per core, are the rows moved; any large scan is returned as it is.
+    Unset, as on a cluster, the rows stay where the scan puts them; the setting is for a few small files.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(cores, by) if size < cores * SPLIT_BYTES else df
+    tasks = df.sparkSession.conf.get(MAP_TASKS, None)
+    return df.repartition(int(tasks), by) if tasks else df

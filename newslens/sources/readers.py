@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.config import DatasetSpec
-from newslens.functions.scalars import LABEL_CODE, strict_label_code
+from newslens.functions.scalars import LABEL_CODE, strict_label_code, stripped
 from newslens.operators.ordering import dense_index
 
 SUFFIX = {"csv": ".csv", "tsv": ".tsv", "json": ".json"}
-# Up to this many files, headers are compared one by one and files with other
-# columns are filled with NULL; beyond it all headers must agree.
-MAX_HEADER_CHECKS = 64
 
 
 def matching_files(spark: SparkSession, folder: str, pattern: str, suffix: str) -> list[str]:
@@ -47,6 +45,16 @@ def _with_file(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("_file"))
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths by their header line, found in one distributed pass over any number of files."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at")
+    )
+    first = lines.filter("begin = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    by_header = first.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header")
+    return {r.header: sorted(unquote(p) for p in r.paths) for r in by_header.collect()}
+
+
 def _read_delimited(spark, folder, patterns, kind, sep, multiline, keep_file) -> DataFrame:
     frames = []
     for pattern in patterns:
@@ -54,13 +62,7 @@ def _read_delimited(spark, folder, patterns, kind, sep, multiline, keep_file) ->
         if not paths:
             continue
         reader = _delimited(spark, sep, multiline)
-        by_header: dict[tuple[str, ...], list[str]] = {}
-        if len(paths) <= MAX_HEADER_CHECKS:
-            for p in paths:
-                by_header.setdefault(tuple(reader.csv(p).columns), []).append(p)
-        else:
-            by_header[()] = paths
-        for group in by_header.values():
+        for group in headers(spark, paths).values():
             df = reader.csv(group)
             frames.append(_with_file(df) if keep_file else df)
     if not frames:
@@ -133,7 +135,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
         lines = spark.read.text(path)
     except AnalysisException:
         return spark.createDataFrame([], "word string")
-    return lines.select(F.lower(F.trim("value")).alias("word")).filter("word <> ''").distinct()
+    return lines.select(F.lower(stripped(F.col("value"))).alias("word")).filter("word <> ''").distinct()
 
 
 def lexicon_words(lexicon: DataFrame, at_most: int = 20_000) -> tuple[str, ...]:

@@ -16,16 +16,16 @@ from newslens.plans import sweeps
 from newslens.plans import training as tr
 
 SAMPLE = [
-    ("Scientists report excellent results. The treatment is effective and safe.", 1),
-    ("Experts claim unbelievable benefits without evidence; this rumor spreads fast.", 0),
-    ("Officials confirm changes with detailed quotes from sources.", 1),
-    ("Clickbait article uses outrageous words and little confirmation.", 0),
-    ("Data indicates positive trends across indicators.", 1),
-    ("Unverified claims and selective quoting dominate the piece.", 0),
-    ("Agency warns of risk; balanced view with sources.", 1),
-    ("Hoax article repeats similar sentences for emphasis.", 0),
-    ("Company releases specs and references.", 1),
-    ("The report is unsafe and ineffective per analysts.", 0),
+    ("The harbour office published its yearly count. It lists every boat by name and owner.", 1),
+    ("Nobody dares to print it, but the moon bridge was sold twice; share before it vanishes!", 0),
+    ("Two engineers signed the inspection and the town kept a copy.", 1),
+    ("A miracle soup ends all hunger, says a man who would not give his name.", 0),
+    ("The library reports good visitor numbers for a third spring.", 1),
+    ("They hide the truth about the lake, and only this page tells you.", 0),
+    ("The council warned of bad ice and named three streets.", 1),
+    ("Shocking trick, shocking trick, every doctor hates the shocking trick.", 0),
+    ("The maker lists weight, price and the tests it ran.", 1),
+    ("The plant is terrible and awful, whispers say, and nobody checked.", 0),
 ]
 
 
@@ -174,7 +174,7 @@ def sample_articles(spark):
 def test_run_leaves_all_tables(spark, tmp_path):
     settings = RunSettings(seeds=(13,), n_splits=1, max_bits=0, lexicons=Lexicons())
     run = tr.run_training(sample_articles(spark), settings, 13, str(tmp_path))
-    out = f"{tmp_path}/run-{settings.digest()}-13"
+    out = run.folder
     for name in ("A", "B", "B_raw", "B_hat", "T", "minmax", "evidence", "predictions", "reports", "fidelity", "metrics", "splits"):
         assert spark.read.parquet(f"{out}/{name}").count() > 0
     again = tr.evaluate_saved(spark, out, "test").first()
