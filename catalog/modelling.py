@@ -21,6 +21,7 @@ from newslens.plans import training as tr
 from newslens.runtime import materialize, scratch_path, spread
 
 LEXICAL = ("SR", "UL", "SP", "NC", "SQ", "FC")
+DIMS = 64  # of the supplied vectors
 
 
 def _lexical(spark, sf):
@@ -67,8 +68,8 @@ def linear_recovery(spark, sf):
 
 def classifier(kind):
     def query(spark, sf):
-        df = materialize(_vectors(spark, sf).select("vec_id", "label", *[F.col("A")[i].alias(f"x{i}") for i in range(8)]), "vectors")
-        names = tuple(f"x{i}" for i in range(8))
+        df = materialize(_vectors(spark, sf).select("vec_id", "label", *[F.col("A")[i].alias(f"x{i}") for i in range(DIMS)]), "vectors")
+        names = tuple(f"x{i}" for i in range(DIMS))
         model = fit_classifier(df, names, kind)
         return model.predict(df).select("vec_id", "label", "pred", F.round("score", 6).alias("score"))
 
@@ -131,9 +132,9 @@ def saved_evaluation(spark, sf):
 
 
 def fidelity(spark, sf):
-    """Distances over eight coordinates against the same coordinates cut to one digit."""
+    """Distances over all coordinates against the same coordinates cut to one digit."""
     v = table(spark, sf, "embeddings")
-    cols = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(8)}
+    cols = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(DIMS)}
     df = v.select("vec_id", *[c.alias(n) for n, c in cols.items()], *[F.floor(c * 10).alias(f"{n}_hat") for n, c in cols.items()])
     out = distance_correlation(df, list(cols), [f"{n}_hat" for n in cols], "vec_id")
     return out.select("pairs", F.round("pearson", 6).alias("pearson"))
@@ -161,8 +162,8 @@ def holm(spark, sf):
 
 
 def pca(spark, sf):
-    df = _vectors(spark, sf).select("vec_id", "label", *[F.col("A")[i].alias(f"x{i}") for i in range(8)])
-    return ev.pca_coordinates(df, [f"x{i}" for i in range(8)], ("vec_id", "label"))
+    df = _vectors(spark, sf).select("vec_id", "label", *[F.col("A")[i].alias(f"x{i}") for i in range(DIMS)])
+    return ev.pca_coordinates(df, [f"x{i}" for i in range(DIMS)], ("vec_id", "label"))
 
 
 # ---- runs -----------------------------------------------------------------
@@ -190,7 +191,7 @@ def baselines(spark, sf):
 
 
 def ablations(spark, sf):
-    return sweeps.run_ablations(articles(spark, sf), SETTINGS, scratch_path(spark, "run"), ("linear_svm", "logreg"), sweeps.WEIGHT_GRID[:2])
+    return sweeps.run_ablations(articles(spark, sf), SETTINGS, scratch_path(spark, "run"))
 
 
 def feature_drops(spark, sf):
@@ -200,7 +201,7 @@ def feature_drops(spark, sf):
 
 
 def summary(spark, sf):
-    return sweeps.summarize(sweeps.run_baselines(articles(spark, sf), SETTINGS, scratch_path(spark, "run"), ("linear_svm",)))
+    return sweeps.summarize(sweeps.run_baselines(articles(spark, sf), SETTINGS, scratch_path(spark, "run")))
 
 
 def stage_reuse(spark, sf):
@@ -302,7 +303,7 @@ ORACLE = {
       UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 4), round((r0 + r1) / 2, 4), round((f0 + f1) / 2, 4), s0 + s1 FROM m
       UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / (s0 + s1), 4), round((r0 * s0 + r1 * s1) / (s0 + s1), 4),
         round((f0 * s0 + f1 * s1) / (s0 + s1), 4), s0 + s1 FROM m""",
-    "v5_fidelity": """WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS b FROM embeddings),
+    "v5_fidelity": """WITH v AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: x::DOUBLE) AS b FROM embeddings),
       w AS (SELECT vec_id, b, list_transform(b, lambda x: floor(x * 10)) AS h FROM v)
       SELECT count(*) AS pairs, round(corr(list_distance(x.b, y.b), list_distance(x.h, y.h)), 6) AS pearson
       FROM w x JOIN w y ON x.vec_id < y.vec_id""",
