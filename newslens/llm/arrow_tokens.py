@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newslens.llm.bpe_pairs import vocabulary_path
-from newslens.llm.pretokens import PieceTable, Vocabulary, chunks, worker_state
+from newslens.llm.pretokens import PieceTable, Vocabulary, chunks, vocabulary_of, worker_state
 from newslens.runtime import scratch_path
 
+OWNER = "arrow_tokens"
 SEQUENCE = 2048
 FILE_IDS = 1 << 23
 ROWS_PER_BATCH = 256
@@ -128,10 +129,10 @@ class FileWriter:
 
 def library_table(vocab: str) -> PieceTable:
     def make() -> PieceTable:
-        vocabulary = Vocabulary(vocab)
+        vocabulary = vocabulary_of(OWNER, vocab)
         return PieceTable(vocabulary, lambda pieces: by_library(pieces, vocabulary))
 
-    return worker_state(("by_library", vocab), make)
+    return worker_state(OWNER, ("pieces", vocab), make)
 
 
 def write_tokens(

@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.pretokens import Chunk, PieceTable, Vocabulary, chunks, flat_gather, worker_state
+from newslens.llm.pretokens import Chunk, PieceTable, Vocabulary, chunks, flat_gather, vocabulary_of, worker_state
+
+OWNER = "bpe_pairs"
 
 
 def merge_by_pairs(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +101,10 @@ def merge_by_pairs(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndar
 
 def piece_table(vocab: str) -> PieceTable:
     def make() -> PieceTable:
-        vocabulary = Vocabulary(vocab)
+        vocabulary = vocabulary_of(OWNER, vocab)
         return PieceTable(vocabulary, lambda pieces: merge_by_pairs(pieces, vocabulary))
 
-    return worker_state(("bpe_pairs", vocab), make)
+    return worker_state(OWNER, ("pieces", vocab), make)
 
 
 def ids_per_text(table: PieceTable, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +140,11 @@ def _bytes_of(ids: np.ndarray, vocab: str) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of many ids, and where those of each id end."""
 
     def make() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        every = Vocabulary(vocab).token_bytes
+        every = vocabulary_of(OWNER, vocab).token_bytes
         lengths = np.array([len(x) for x in every], np.int64)
         return np.frombuffer(b"".join(every), np.uint8), np.cumsum(lengths) - lengths, lengths
 
-    pool, offsets, lengths = worker_state(("token_bytes", vocab), make)
+    pool, offsets, lengths = worker_state(OWNER, ("token_bytes", vocab), make)
     ids = np.where((ids >= 0) & (ids < len(lengths)), ids, len(lengths))
     lengths, offsets = np.append(lengths, 0), np.append(offsets, 0)
     return flat_gather(pool, offsets, lengths, ids), np.cumsum(lengths[ids])
@@ -187,7 +189,7 @@ def round_trip_digests(docs: DataFrame, vocab: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(vocab)
-        decimal = worker_state(("decimals", vocab), lambda: _decimal_table(table.vocabulary.size))
+        decimal = worker_state(OWNER, ("decimals", vocab), lambda: _decimal_table(table.vocabulary.size))
         for batch in batches:
             n = batch.num_rows
             totals = np.zeros(n, np.int64)

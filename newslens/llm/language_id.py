@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from newslens.llm.columns import free_name
 from newslens.llm.ngrams import LETTERS, hashed_ngrams
+from newslens.llm.pretokens import forget
 
+OWNER = "language_id"
 ORDERS = (1, 2, 3, 4)
 BITS = 13
 PER_LANGUAGE = 400
@@ -142,6 +144,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
     """Fit on the sample; its n-gram counts are made in the tasks and come as one short row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             languages = batch.column(1)
             for rows, counts in histograms(batch.column(0)):
@@ -170,6 +173,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         schema = schema.add(*field.split(" "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             letters = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)

@@ -65,7 +65,7 @@ def _word_map() -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows that have words, where the set of each starts, and the distinct shingles, sorted per row."""
     table, inside = _word_map()
-    mix = worker_state(("word_mix",), mixing_table)
+    mix = worker_state("minhash", ("word_mix",), mixing_table)
 
     def sets(rows: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pair = owner[1:] == owner[:-1]

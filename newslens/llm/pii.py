@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newslens.llm.bilstm_crf import BiLstmCrf
+from newslens.llm.pretokens import forget
 
+OWNER = "pii"
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE = 128, 96
 EDGE = (WIDTH - STRIDE) // 2
@@ -156,6 +158,7 @@ def train(docs: DataFrame, id_col: str, text: str, sample: int = SAMPLE, steps:
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             windows, tags = [], []
             for value in batch.column(0):
@@ -227,6 +230,7 @@ def find_personal_data(docs: DataFrame, model: BiLstmCrf | None, text: str = "te
     kind_of = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             texts = batch.column(names.index(text))
             rows = []
@@ -242,6 +246,7 @@ def report(docs: DataFrame, model: BiLstmCrf | None, id_col: str = "doc_id", tex
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)`` per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             counts, digests, spans, more = [[] for _ in KINDS], [], [], []
             for base, added in all_spans([x.as_py() or "" for x in batch.column(1)], model):
@@ -264,6 +269,7 @@ def mask(docs: DataFrame, model: BiLstmCrf | None, text: str = "text") -> DataFr
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             at = names.index(text)
             values = [x.as_py() for x in batch.column(at)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 # Bytes worked on at once: arrays of 8 bytes per byte stay near the CPU caches.
 CHUNK_BYTES = 1 << 20
 # Pre-tokens a worker remembers; beyond it the table starts anew (same results, more work).
-TABLE_ENTRIES = 1 << 21
+TABLE_ENTRIES = 1 << 19
 HASHED_POSITIONS = 64
 OTHER, LETTER, NUMBER, BLANK, SPACE = range(5)
 # The characters that the pattern's \s matches, without the blank.
@@ -36,12 +36,23 @@ WHITE_SPACE = (
 )
 
 
-def worker_state(key: tuple, make: Callable[[], object]) -> object:
-    """One object per Python worker and key; a worker that is started anew builds it again."""
-    store = sys.modules.setdefault("_newslens_worker_state", types.ModuleType("_newslens_worker_state")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+def worker_state(owner: str, key: tuple, make: Callable[[], object]) -> object:
+    """One object per Python worker and key; a worker that is started anew builds it again.
+
+    A worker serves many jobs, so it holds the objects of one owner only: those of the last one go.
+    """
+    held = sys.modules.setdefault("_newslens_worker_state", types.ModuleType("_newslens_worker_state"))
+    if getattr(held, "owner", None) != owner:
+        held.owner, held.objects = owner, {}
+        pa.default_memory_pool().release_unused()
+    if key not in held.objects:
+        held.objects[key] = make()
+    return held.objects[key]
+
+
+def forget(owner: str) -> None:
+    """For tasks that keep nothing: let go of what earlier jobs left in this worker."""
+    worker_state(owner, (), object)
 
 
 def character_classes(tokenizer) -> np.ndarray:
@@ -247,6 +258,10 @@ class Vocabulary:
         self.classes = character_classes(self.tokenizer)
 
 
+def vocabulary_of(owner: str, path: str) -> Vocabulary:
+    return worker_state(owner, ("vocabulary", path), lambda: Vocabulary(path))
+
+
 class PieceTable:
     """Hash table of pre-tokens in arrays: 64-bit key to entry, entry to its ids (or only their count).
 

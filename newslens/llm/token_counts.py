@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.llm.bpe_pairs import vocabulary_path
-from newslens.llm.pretokens import PieceTable, Vocabulary, chunks, worker_state
+from newslens.llm.pretokens import PieceTable, Vocabulary, chunks, vocabulary_of, worker_state
+
+OWNER = "token_counts"
 
 
 def merges_in(piece: bytes, vocabulary: Vocabulary) -> int:
@@ -60,11 +62,11 @@ def token_counts(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str
     """``(doc_id, n_bytes, n_tokens, over_limit)`` of each whole text, one narrow pass."""
 
     def make() -> PieceTable:
-        vocabulary = Vocabulary(vocab)
+        vocabulary = vocabulary_of(OWNER, vocab)
         return PieceTable(vocabulary, lambda pieces: counted(pieces, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_state(("token_counts", vocab), make)
+        table = worker_state(OWNER, ("pieces", vocab), make)
         for batch in batches:
             n_bytes, n_tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for chunk in chunks(batch.column(1)):

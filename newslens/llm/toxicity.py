@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from newslens.llm.language_id import remainder
 from newslens.llm.ngrams import CHARACTERS, hashed_ngrams
+from newslens.llm.pretokens import forget
 from newslens.runtime import materialize
 
+OWNER = "toxicity"
 ORDERS = (4, 6)
 BITS = 20
 PER_LABEL = 3000
@@ -95,6 +97,7 @@ def train(labelled: DataFrame, sizes: dict[int, int], features: int = FEATURES)
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
@@ -126,6 +129,7 @@ def train(labelled: DataFrame, sizes: dict[int, int], features: int = FEATURES)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             labels = batch.column(1).to_pylist()
             packed = [b""] * batch.num_rows
@@ -146,6 +150,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     schema = docs.select(*names).schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(OWNER)
         for batch in batches:
             total = np.zeros(batch.num_rows)
             for row, found in present(batch.column(names.index(text)), model.slot):

@@ -120,7 +120,7 @@ def test_random_access_is_a_view(spark, docs):
     last = sum(reader.get_batch(b).num_rows for b in range(reader.num_record_batches)) - 1
     before = pa.total_allocated_bytes()
     ids, mask = arrow_tokens.sequence_at(reader, last)
-    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and pa.total_allocated_bytes() == before
+    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and pa.total_allocated_bytes() <= before + 64  # the mask
     assert ids[mask][-1] == END and (ids[~mask] == 0).all()
 
 
