@@ -4,8 +4,8 @@ Strong findings (the base kinds) stand alone. Weak candidates are parts that mea
 themselves: an account name, a mixed blob, an address. They are reported only with their
 complement in the same scope, ``SCOPE`` code points around them in the same text:
 
-* ``identifier`` (``user=...``, ``client_id: ...``) with any secret part,
-* ``blob`` (20 to 64 base64 characters with both cases and a digit) with an identifier or access key,
+* ``identifier`` (``user=...``, ``client_id: ...``, ``DB_USER=...``, in any case and behind any prefix) with any secret part,
+* ``blob`` (20 or more base64 characters with both cases and a digit) with an identifier or access key,
 * ``endpoint`` (a URL) with both an identifier part and a secret part.
 
 The interval join works on buckets of ``SCOPE`` code points: parts that may complement are first
@@ -39,8 +39,9 @@ BASE = {
     "hex": r"[0-9a-f]{16,}",
 }
 WEAK = {
-    "identifier": r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?(?:key_?)?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""",
-    "blob": r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{20,64}(?![A-Za-z0-9+/])",
+    # as in "assign" the span begins at the keyword, whatever prefix stands before it
+    "identifier": r"""(?=[uUlLaAcC])(?i:user(?:[_-]?(?:name|id))?|login|account(?:[_-]?(?:name|id))?|client[_-]?id|access[_-]?(?:key[_-]?)?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""",
+    "blob": r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{20,}",
     "endpoint": r"""https?://[^\x00-\x20"'<>]+""",
 }
 KINDS = [*BASE, *WEAK]
