@@ -8,9 +8,11 @@ complement in the same scope, ``SCOPE`` code points around them in the same text
 * ``blob`` (20 or more base64 characters with both cases and a digit) with an identifier or access key,
 * ``endpoint`` (a URL) with both an identifier part and a secret part.
 
-The interval join works on buckets of ``SCOPE`` code points: parts that may complement are first
-reduced to their smallest and largest start per text, bucket and role, then a candidate meets at
-most three buckets, so a text full of parts makes no pairs.
+Two parts are in scope when the gap between their intervals is at most ``SCOPE``, whatever their
+lengths (``by_gap=False`` measures from start to start instead, the narrower rule). The interval join
+works on buckets of ``SCOPE`` code points: parts that may complement are first reduced to their
+smallest start and largest end per text, role and bucket they touch, then a candidate meets the
+buckets it touches and one on each side, so a text full of parts makes no pairs.
 
 A position is the sum of the lengths of all matches and gaps before it, in code points; it comes
 from a window over the few matches of a text, never over its characters.
@@ -100,16 +102,18 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return materialize(placed.select("key", "kind", (F.col("end") - F.col("len")).alias("start"), end.alias("end")), "secret-parts")
 
 
-def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+def linked(found: DataFrame, scope: int = SCOPE, by_gap: bool = True) -> DataFrame:
     """The weak rows of ``found`` that have their complement in scope."""
     role = F.when(F.col("kind").isin(*IDENTIFIERS), "identifier").when(F.col("kind").isin(*SECRETS), "secret")
-    bucket = F.floor(F.col("start") / scope)
+    bucket = lambda at: F.floor(at / scope)
+    last = F.col("end") if by_gap else F.col("start")
     holders = found.withColumn("role", role).filter(F.col("role").isNotNull())
-    spans = holders.groupBy("key", bucket.alias("bucket"), "role").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    touched = holders.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(last))))
+    spans = touched.groupBy("key", "bucket", "role").agg(F.min("start").alias("low"), F.max(last).alias("high"))
     weak = found.filter(F.col("kind").isin(*WEAK))
-    near = weak.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    reach = (F.col("low") - F.col("start") <= scope) & (F.col("start") - F.col("high") <= scope)
-    # within the candidate's own bucket every start is in reach; beyond it the nearest one decides
+    near = weak.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")) - 1, bucket(last) + 1)))
+    reach = (F.col("low") - last <= scope) & (F.col("start") - F.col("high") <= scope)
+    # within the buckets a candidate touches every part is in reach; beyond them the nearest one decides
     met = near.join(spans, ["key", "bucket"]).filter(reach)
     roles = met.groupBy("key", "kind", "start", "end").agg(F.collect_set("role").alias("roles"))
     wanted = {"identifier": ("secret",), "blob": ("identifier",), "endpoint": ("identifier", "secret")}
@@ -122,11 +126,11 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return roles.filter(complete).select("key", "kind", "start", "end")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE, by_gap: bool = True) -> DataFrame:
     """``(key, kind, start, end)``: base findings, linked candidates, and the row without kind per key."""
     found = parts(docs, id_col, text)
     base = found.filter(F.col("kind").isNull() | F.col("kind").isin(*BASE))
-    return base.unionByName(linked(found, scope))
+    return base.unionByName(linked(found, scope, by_gap))
 
 
 def _digest_text(spans: Column) -> Column:
@@ -135,13 +139,16 @@ def _digest_text(spans: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``, a row for each row of ``docs``."""
+def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE, by_gap: bool = False) -> DataFrame:
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``, a row for each row of ``docs``.
+
+    The registered query links by gaps; the default here is the rule from start to start.
+    """
     number = F.lit(None).cast("int")
     for i, kind in enumerate(KINDS):
         number = F.when(F.col("kind") == kind, i).otherwise(number)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", number.alias("number"), "end", "kind"))
-    grouped = find_secrets(docs, id_col, text, scope).groupBy("key").agg(
+    grouped = find_secrets(docs, id_col, text, scope, by_gap).groupBy("key").agg(
         *[F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}") for kind in BASE],
         F.sort_array(F.collect_list(span)).alias("every"),
         F.max(F.when(F.col("kind").isNull(), F.col("end"))).alias("n_rows"),
@@ -157,7 +164,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: i
 
 
 def op2_query(spark: SparkSession, sf: str) -> DataFrame:
-    return report(spark.read.parquet(f"{sf}/documents.parquet"))
+    return report(spark.read.parquet(f"{sf}/documents.parquet"), by_gap=True)
 
 
 def _sql_matches(kind: str) -> str:

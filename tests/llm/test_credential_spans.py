@@ -31,3 +31,24 @@ def test_key_value_credentials(spark):
     rows = [(i, text) for i, (text, _) in enumerate(CREDENTIALS)]
     got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in cl.report(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got == {i: spans(text, parts) for i, (text, parts) in enumerate(CREDENTIALS)}
+
+
+JWT = "x" * 330
+ADDRESS = "https://host.example/" + "p" * 300
+LONG_PARTS = [
+    (f"token={JWT} user=anna", [("assign", f"token={JWT}"), ("identifier", "user=anna")]),
+    (f"user=anna token={JWT}", [("identifier", "user=anna"), ("assign", f"token={JWT}")]),
+    (f"{ADDRESS} user=anna token=zzzzyyyyxxxx1", [("endpoint", ADDRESS), ("identifier", "user=anna"), ("assign", "token=zzzzyyyyxxxx1")]),
+    (f"user=anna token=zzzzyyyyxxxx1 {ADDRESS}", [("identifier", "user=anna"), ("assign", "token=zzzzyyyyxxxx1"), ("endpoint", ADDRESS)]),
+    (f"token={JWT}{' ' * 200}user=anna", [("assign", f"token={JWT}"), ("identifier", "user=anna")]),
+    (f"token={JWT}{' ' * 201}user=anna", [("assign", f"token={JWT}")]),
+    (f"user=anna{' ' * 201}token={JWT}", [("assign", f"token={JWT}")]),
+    (f"token={JWT * 40} user=anna", [("assign", f"token={JWT * 40}"), ("identifier", "user=anna")]),
+]
+
+
+def test_scope_is_the_gap_between_parts(spark):
+    rows = [(i, " " * shift + text) for shift in (0, 61) for i, (text, _) in enumerate(LONG_PARTS, 100 * shift)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in cl.report(docs, by_gap=True).collect()}
+    assert got == {i: spans(text, LONG_PARTS[i % 100][1]) for i, text in rows}
