@@ -55,3 +55,18 @@ def test_few_rows(spark):
     assert nn.nearest(spark.createDataFrame(rows[:1], SCHEMA), F.col("id") == 0).count() == 0
     assert nn.nearest(spark.createDataFrame([], SCHEMA), F.col("id") == 0).count() == 0
     assert nn.nearest(spark.createDataFrame([(0, None, "x")], SCHEMA), F.col("id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("kind, spread", [("float", 1e-4), ("double", 1e-9)])
+def test_near_copies_closer_than_a_code_step(spark, kind, spread):
+    """3,000 unequal near copies, far nearer to each other than 1/127 of their components, beside 2,000 other vectors."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 8)) + spread * rng.normal(size=(3000, 8)), rng.normal(size=(2000, 8))])
+    x = x.astype(np.float32).astype(np.float64) if kind == "float" else x
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>").repartition(4)
+    got = {}
+    for r in nn.nearest(vectors, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {v for v, _ in brute(np.arange(len(x)), x, q)}) for q in range(0, len(x), 100)]
+    assert sum(hits[:30]) / 300 >= 0.95 and sum(hits[30:]) / 200 >= 0.95
