@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from catalog.common import DOCS, LEX, SETTINGS, articles, documents, table
+from catalog.common import DOCS, LEX, SETTINGS, TWO_SPLITS, articles, documents, table
 from catalog.features import lexical_ctes
 from newslens.functions.scalars import dot
 from newslens.operators import calibration as cal
@@ -196,7 +196,7 @@ def ablations(spark, sf):
 
 def feature_drops(spark, sf):
     return sweeps.run_ablations(
-        articles(spark, sf), SETTINGS, scratch_path(spark, "run"), ("linear_svm",), [SETTINGS.weights], sweeps.DROP_GRID
+        articles(spark, sf), SETTINGS, scratch_path(spark, "run"), weights=[SETTINGS.weights], drops=sweeps.DROP_GRID
     )
 
 
@@ -207,8 +207,8 @@ def summary(spark, sf):
 def stage_reuse(spark, sf):
     """Two sweeps over one folder: the second finds both stage tables."""
     folder = scratch_path(spark, "run")
-    first = tr.stage_tables(articles(spark, sf), SETTINGS, folder)
-    again = tr.stage_tables(articles(spark, sf), replace(SETTINGS, classifier="logreg", drop_features=("PR",)), folder)
+    first = tr.stage_tables(articles(spark, sf), TWO_SPLITS, folder)
+    again = tr.stage_tables(articles(spark, sf), replace(TWO_SPLITS, classifier="logreg", drop_features=("PR",)), folder)
     rows = [
         t.agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(n)).withColumn("reused", F.lit(t.inputFiles() == u.inputFiles()))
         for n, t, u in zip(("features", "splits"), first, again)
