@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, filter_audit, language_id, minhash, nn_descent, pii, token_alignment, token_counts, toxicity
+from newslens.llm import arrow_tokens, bpe_pairs, credential_links, decontamination, filter_audit, host_paths, language_id, minhash, nn_descent, pii, token_alignment, token_counts, toxicity
 
 QUERIES = {
     "op1_language_codes": language_id.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_query,
     "op9_pii": pii.op9_query,
     "op10_decontamination": decontamination.op10_query,
+    "op11_host_paths": host_paths.op11_query,
     "op12_removal_ranks": filter_audit.op12_query,
     "op13_fragment_alignment": token_alignment.op13_query,
 }
