@@ -21,7 +21,7 @@ LIBRARIES = Tokenizer.from_file(PATHS[0]), sentencepiece.SentencePieceProcessor(
 
 @pytest.fixture(scope="module")
 def tokens():
-    return ta.Tokenizers(*PATHS)
+    return ta.Segments(ta.Tokenizers(*PATHS))
 
 
 def plain_groups(text):
@@ -84,14 +84,14 @@ def sample(rng, k):
 def test_equals_the_definition(spark):
     rng = np.random.default_rng(5)
     rows = [(i, sample(rng, int(rng.integers(1, 40)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "▁ is not a blank"), (103, " "), (104, "   two  blanks "), (None, "no id"), (3, rows[3][1]), (3, rows[3][1]), (105, "\n"), (106, "中" * 50)]
+    rows += [(100, None), (101, ""), (102, "▁ is not a blank"), (103, " "), (104, "   two  blanks "), (None, "no id"), (3, rows[3][1]), (3, rows[3][1]), (105, "\n"), (107, "ends in a blank "), (108, "two  "), (109, " \u3000 \xa0 x\u3000 y"), (106, "中" * 50)]
     assert spark_alignment(spark, rows) == plain_alignment(rows)
 
 
 def test_long_texts_are_composed_from_ranges(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, sample(rng, 2500)) for i in range(3)]
-    rows += [(10, "abcdef0123456789" * 9000), (11, sample(rng, 9000)), (12, "中文" * 30_000), (13, sample(rng, 3000) + " ▁ " + sample(rng, 3000)), (14, "short")]
+    rows += [(10, "abcdef0123456789" * 9000), (11, sample(rng, 9000)), (12, "中文" * 30_000), (13, sample(rng, 3000) + " ▁ " + sample(rng, 3000)), (14, "short"), (15, sample(rng, 4000) + " ")]
     monkeypatch.setattr(ta, "RANGE_BYTES", 1 << 14)
     assert spark_alignment(spark, rows) == plain_alignment(rows)
 
@@ -103,10 +103,10 @@ def test_empty_table(spark):
 def test_fragments_form_a_monoid(tokens):
     rng = np.random.default_rng(7)
     text = (" " + sample(rng, 400)).encode()
-    (a,), (b,), good = tokens.encode([text])
-    assert good[0]
-    sides = [np.array(x) for x in (a, b)]
-    ends = [np.cumsum(s[x]) for s, x in zip((tokens.size_a, tokens.size_b), sides)]
+    good, made = ta.fragment_of(text, 0, len(text), tokens)
+    assert good
+    sides = [made.a, made.b]
+    ends = [np.cumsum(s[x]) for s, x in zip((tokens.tokens.size_a, tokens.tokens.size_b), sides)]
     whole = ta.Fragment.of(sides[0], ends[0], sides[1], ends[1])
 
     def part(low, high):
@@ -138,7 +138,7 @@ def test_every_byte_is_in_one_range_and_windows_start_at_cuts():
         for w, x, s, e in rows:
             assert w <= s < e <= x
             assert w == 0 or (full[w] == 0x20 and not full[:w].decode()[-1].isspace())
-            assert x == len(full) or full[x] == 0x20
+            assert x == len(full) or (full[x] == 0x20 and x + 1 < len(full))
 
 
 def test_equal_hashes_do_not_join_groups(monkeypatch):
@@ -146,3 +146,14 @@ def test_equal_hashes_do_not_join_groups(monkeypatch):
     a, n_a, b, n_b = (np.array(x) for x in ([1, 2, 1, 3], [1, 1, 2], [5, 5, 5], [1, 1, 1]))
     first, which = ta.distinct_groups(a, n_a, b, n_b)
     assert which.tolist() == [0, 1, 2] and first.tolist() == [0, 1, 2]
+
+
+def test_both_ways_to_encode_a_segment_agree(tokens):
+    rng = np.random.default_rng(9)
+    letters = list("abcXYZéßñÿÆ'.,-_<|>0159¼²ª ") + ["\t", "'s", "'ll", "\xa0", "\x85", "\xad", "\x00", "<|endoftext|>"]
+    segments = list(dict.fromkeys("".join(rng.choice(letters, int(rng.integers(1, 12)))) for _ in range(20_000)))
+    segments = [s for s in segments if tokens.tokens.is_easy(s)]
+    assert tokens.tokens.fast is not None and len(segments) > 5000
+    fast = tokens.tokens.ids_a(segments, [])
+    slow = tokens.tokens.ids_a([], segments)
+    assert np.array_equal(fast[0], slow[0]) and np.array_equal(fast[1], slow[1])
