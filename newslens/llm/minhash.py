@@ -8,24 +8,25 @@
    components of the pairs that survive are families; every link lies inside one.
 3. Members of a family are verified on full sets, and the components of the links are the result.
 
-Neither step expands a group into all pairs. In each of a few linear *star rounds* every member is
-compared with one member of another component of its bucket or family, and components are
-contracted. What is left, members outside the largest component, is compared with the whole bucket
-or family in packed blocks: m such members among n take ``m * n / block ** 2`` rows, each of bounded size,
-and a block pair returns no more links than it has members.
+Neither step expands a group into all pairs. First every member of a bucket is compared with its first member (and
+those of these pairs that survive are verified), which leaves few components. Then members outside the
+largest component of a bucket or family are compared with all of it in packed blocks: m such members
+among n take ``m * n / block ** 2`` rows, each of bounded size and each joined by its own key (group, left block, right
+block), and a block pair returns no more links than it has members.
 
 A link at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 7e-7.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with
 nothing; a text of one word has that word as its only shingle. Rows with a null id are linked with
 nothing and have a null component. Rows are told apart by their set, so repeated rows get repeated
-results; several texts under one id that are nodes of their own are one node. An empty table gives none.
+results; several texts under one id are nodes of their own, linked only if they are similar, and each bears the id of
+its own component. An empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -34,7 +35,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.llm.pretokens import chunks, mixing_table, segment_hashes, worker_state
-from newslens.operators.neardup import connected_components
 from newslens.runtime import materialize
 
 BANDS, ROWS = 27, 4
@@ -44,7 +44,6 @@ MISS = 1e-7
 BLOCK = 256  # signatures in a block
 BLOCK_SHINGLES = 100_000  # shingles in a block of full sets
 COLUMNS = 8192
-STAR_ROUNDS = 2
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -110,8 +109,13 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield sets(np.array([open_row]), np.zeros(len(w), np.int64), w)
 
 
+def text_digest(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, n, digest, bands, sig)`` per row, stored; the last three are null without words."""
+    """``(id, text_digest, n, digest, bands, sig)`` per row, stored; the last three are null without words."""
     k = BANDS * ROWS
     rng = np.random.default_rng(8)
     factor = rng.integers(0, 1 << 64, k, np.uint64) | np.uint64(1)
@@ -121,7 +125,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         for batch in batches:
             count = np.zeros(batch.num_rows, np.int64)
             digest, bands, sig = ([None] * batch.num_rows for _ in range(3))
-            for rows, starts, shingles in shingle_sets(batch.column(1)):
+            for rows, starts, shingles in shingle_sets(batch.column(2)):
                 n = np.diff(np.append(starts, len(shingles)))
                 count[rows] = n
                 low = np.empty((len(rows), k), np.uint32)
@@ -134,11 +138,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
                 short = low.astype(np.uint16)
                 for i, row in enumerate(rows.tolist()):
                     digest[row], sig[row], bands[row] = sums[i].tobytes(), short[i].tobytes(), keys[i].view(np.int64)
-            columns = [batch.column(0), pa.array(count), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "bands", "sig"])
+            columns = [batch.column(0), batch.column(1), pa.array(count), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_digest", "n", "digest", "bands", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "id bigint, n bigint, digest binary, bands array<bigint>, sig binary"), "minhash")
+    whole = F.col(text).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_digest(whole).alias("text_digest"), whole.alias("text"))
+    return materialize(rows.mapInArrow(run, "id bigint, text_digest binary, n bigint, digest binary, bands array<bigint>, sig binary"), "minhash")
 
 
 @cache
@@ -178,14 +183,14 @@ def _signature_matrix(column: pa.Array) -> np.ndarray:
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """``(group, sid)`` of the buckets with at least two nodes, stored; the key of a band also says which band."""
-    rows = nodes.select("sid", F.explode("bands").alias("group"))
-    full = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return materialize(rows.join(full, "group"), "buckets")
+    """``(group, node, hub)`` of the buckets with at least two nodes, stored; the key of a band also says which band."""
+    rows = nodes.select("node", F.explode("bands").alias("group"))
+    hubs = rows.groupBy("group").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return materialize(rows.join(hubs, "group"), "buckets")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(sid, digest, shingles)`` of the nodes in ``wanted`` (``sid, digest``), stored."""
+    """``(node, shingles)`` of the nodes in ``wanted`` (``node, sid, digest``), stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +204,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Dat
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("sid"), F.col(text).cast("string").alias("text"))
     mine = texts.join(wanted.select("sid").distinct(), "sid", "left_semi")
-    made = mine.mapInArrow(run, "sid bigint, digest binary, shingles binary")
-    return materialize(made.join(wanted, ["sid", "digest"], "left_semi").select("sid", "shingles"), "shingle-sets")
+    made = mine.mapInArrow(run, "sid bigint, digest binary, shingles binary").join(wanted, ["sid", "digest"])
+    return materialize(made.groupBy("sid", "digest", "node").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "shingle-sets")
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -212,9 +217,9 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             kept = likely(_signature_matrix(batch.column(2)), _signature_matrix(batch.column(3)), index, index)
             yield batch.select(["a", "b"]).take(pa.array(kept))
 
-    sigs = nodes.select("sid", "sig")
-    left = pairs.join(sigs.select(F.col("sid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = left.join(sigs.select(F.col("sid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    sigs = nodes.select("node", "sig")
+    left = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -231,56 +236,88 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("set_b")), "b")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _components(links: list[DataFrame]) -> DataFrame:
-    every = reduce(DataFrame.unionByName, links)
-    return materialize(connected_components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+def components(edges: DataFrame) -> DataFrame | None:
+    """``(node, root)`` of every node of the edges ``(a, b)``, stored; None without edges.
+
+    Each round every node goes to the first of its neighbours and itself, and the edges that are left join the places they
+    went to. First is the smallest in even rounds, which ends a star at once, and by a hash of the round in odd
+    ones, which ends a chain in logarithmic time.
+    """
+    edges, labels, turn = edges.filter("a <> b").distinct(), None, 0
+    while True:
+        edges = materialize(edges, "edges")
+        if edges.isEmpty():
+            return labels
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        order = (lambda c: F.xxhash64(F.col(c), F.lit(turn))) if turn % 2 else F.col
+        first = both.groupBy("a").agg(F.min(F.struct(order("b").alias("order"), F.col("b").alias("node"))).alias("first"))
+        place = F.least(F.col("first"), F.struct(order("a").alias("order"), F.col("a").alias("node")))
+        went = materialize(first.select(F.col("a").alias("node"), place["node"].alias("root")), "places")
+        moved = edges.join(went.withColumnsRenamed({"node": "a", "root": "u"}), "a").join(went.withColumnsRenamed({"node": "b", "root": "v"}), "b")
+        edges = moved.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        if labels is None:
+            labels = went
+        else:
+            labels = materialize(labels.withColumnRenamed("root", "at").join(went.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
+        turn += 1
+
+
+def joined(labels: DataFrame | None, more: DataFrame) -> DataFrame | None:
+    """Components of what ``labels`` stands for and the links ``more`` between them: only the few new links are contracted."""
+    if labels is None or more.isEmpty():
+        return components(more) if labels is None else labels
+    ends = more.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(labels.withColumnsRenamed({"node": end, "root": "root"}), end, "left").withColumn(f"_{end}", F.coalesce("root", end)).drop("root")
+    new = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    if new is None:
+        return labels
+    lone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(lone.select("node", F.col("node").alias("root")))
+    return materialize(every.withColumnRenamed("root", "at").join(new.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
 
 
 def _labelled(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``(group, sid, comp)`` of the groups that hold more than one component, stored."""
+    """``(group, node, comp)`` of the groups that hold more than one component, stored."""
     if roots is None:
-        named = groups.select("group", "sid", F.col("sid").alias("comp"))
+        named = groups.select("group", "node", F.col("node").alias("comp"))
     else:
-        named = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("group", "sid", F.coalesce("root", "sid").alias("comp"))
+        named = groups.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("comp"))
     several = named.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     return materialize(named.join(several.select("group"), "group", "left_semi"), "mixed-groups")
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """At most one pair per member: with the first, in the order of this turn, of all its groups."""
-    order = F.xxhash64(F.col("sid"), F.lit(turn)) if turn else F.col("sid")
-    hubs = members.groupBy("group").agg(F.min(F.struct(order.alias("order"), F.col("sid").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"))
-    met = members.join(hubs, "group").filter(F.col("comp") != F.col("h.hub_comp"))
-    return met.groupBy("sid").agg(F.min("h").alias("h")).select(F.least("sid", "h.hub").alias("a"), F.greatest("sid", "h.hub").alias("b")).distinct()
-
-
 def _block_rows(members: DataFrame, payload: DataFrame, weight: str, limit: int) -> DataFrame:
     """``(lefts, rights)``: blocks of members outside their group's largest component, against blocks of all.
 
-    ``payload`` has ``sid``, ``data`` and the weight; a block holds about ``limit`` of the weight.
+    ``payload`` has ``node``, ``data`` and the weight; a block holds about ``limit`` of the weight. Pairs of blocks are
+    joined by (group, left, right), so those of one group are spread over all tasks.
     """
-    placed = members.join(payload, "sid")
+    placed = members.join(payload, "node")
     sizes = placed.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum(weight).alias("weight"))
     most = sizes.groupBy("group").agg(F.max(F.struct("size", "comp", "weight")).alias("most"), F.sum("weight").alias("all"))
+    blocks = {"left": F.col("all") - F.col("most.weight"), "right": F.col("all")}
+    most = most.select("group", F.col("most.comp").alias("largest"), *[F.ceil(x / F.lit(limit)).cast("bigint").alias(f"n_{c}") for c, x in blocks.items()])
     placed = placed.join(most, "group")
 
-    def packed(rows: DataFrame, total: Column, name: str) -> DataFrame:
-        slot = F.pmod(F.xxhash64("sid"), F.ceil(total / F.lit(limit)).cast("bigint"))
-        return rows.groupBy("group", slot.alias(name)).agg(F.collect_list(F.struct("sid", "comp", "data")).alias(f"{name}s"))
+    def packed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        slot = F.pmod(F.xxhash64("node"), F.col(f"n_{own}"))
+        block = rows.groupBy("group", slot.alias(own), f"n_{other}").agg(F.collect_list(F.struct("node", "comp", "data")).alias(f"{own}s"))
+        return block.select("group", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}") - 1)).alias(other), f"{own}s")
 
-    outside = placed.filter(F.col("comp") != F.col("most.comp"))
-    return packed(outside, F.col("all") - F.col("most.weight"), "left").join(packed(placed, F.col("all"), "right"), "group").select("lefts", "rights")
+    lefts = packed(placed.filter(F.col("comp") != F.col("largest")), "left", "right")
+    return lefts.join(packed(placed, "right", "left"), ["group", "left", "right"]).select("lefts", "rights")
 
 
 def _sides(batch: pa.RecordBatch, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     for c in (0, 1):
         entries = batch.column(c)[i].values
-        yield entries.field("sid").to_numpy(), entries.field("comp").to_numpy(), entries.field("data")
+        yield entries.field("node").to_numpy(), entries.field("comp").to_numpy(), entries.field("data")
 
 
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -322,8 +359,8 @@ def likely_in_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
                     linked[p[kept] + begin, q[kept]] = True
                 yield _linked_ids([left, right], linked)
 
-    payload = nodes.select("sid", F.col("sig").alias("data"), F.lit(1).alias("one"))
-    return _block_rows(members, payload, "one", BLOCK).mapInArrow(run, "a bigint, b bigint").distinct()
+    payload = nodes.select("node", F.col("sig").alias("data"), F.lit(1).alias("one"))
+    return materialize(_block_rows(members, payload, "one", BLOCK).mapInArrow(run, "a bigint, b bigint").distinct(), "likely")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -355,56 +392,47 @@ def verified_in_blocks(members: DataFrame, sets: DataFrame, percent: int = PERCE
                 union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None] - both
                 yield _linked_ids([left, right], (100 * both >= percent * union) & (left_comp[:, None] != right_comp[None]))
 
-    payload = sets.select("sid", F.col("shingles").alias("data"), (F.octet_length("shingles") / 8).alias("size_of"))
+    payload = sets.select("node", F.col("shingles").alias("data"), (F.octet_length("shingles") / 8).alias("size_of"))
     return materialize(_block_rows(members, payload, "size_of", BLOCK_SHINGLES).mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
-def contracted(groups: DataFrame, rounds: int, by_pairs, by_blocks) -> DataFrame | None:
-    """Components ``(node, root)`` of the links inside groups ``(group, sid)``; None if there are none.
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, text_digest, n, component, group)`` for every row of ``docs``.
 
-    ``by_pairs`` keeps the linked ones of some pairs, ``by_blocks`` finds links across components.
+    ``group`` numbers the components, also where two bear the same smallest id; it is null for rows without id or words.
     """
-    found: list[DataFrame] = []
-    roots, members = None, _labelled(groups, None)
-    for turn in range(rounds + 1):
-        if members.isEmpty():
-            break
-        links = by_pairs(star_pairs(members, turn)) if turn < rounds else by_blocks(members)
-        if links.isEmpty():
-            continue  # nothing is contracted: the same groups, the next turn's pairs
-        found.append(links)
-        roots = _components(found)
-        if turn < rounds:
-            members = _labelled(members.drop("comp"), roots)
-    return roots
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``."""
     rows = signatures(docs, id_col, text)
     usable = rows.filter("id is not null and digest is not null")
     nodes = usable.groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("x"))
-    nodes = materialize(nodes.select(F.col("x.id").alias("sid"), "digest", "x.bands", "x.sig"), "nodes")
-    families = contracted(
-        shared_buckets(nodes),
-        star_rounds,
-        lambda pairs: materialize(likely_pairs(pairs, nodes), "likely"),
-        lambda members: materialize(likely_in_blocks(members, nodes), "likely"),
-    )
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("x.id").alias("sid"), "digest", "x.bands", "x.sig"), "nodes")
+    members = shared_buckets(nodes)
+    star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = materialize(likely_pairs(star, nodes), "likely")
+    alike = components(near)
+    families = joined(alike, likely_in_blocks(_labelled(members, alike), nodes))
     roots = None
     if families is not None:
-        groups = families.select(F.col("root").alias("group"), F.col("node").alias("sid"))
-        sets = full_sets(docs, nodes.join(groups.select("sid"), "sid", "left_semi").select("sid", "digest"), id_col, text)
-        roots = contracted(groups, star_rounds, lambda pairs: verified(pairs, sets), lambda members: verified_in_blocks(members, sets))
-    classes = nodes.select("sid", "digest")
+        wanted = nodes.select("node", "sid", "digest").join(families.select("node"), "node", "left_semi")
+        sets = full_sets(docs, wanted, id_col, text)
+        linked = components(verified(near, sets))
+        groups = families.withColumnRenamed("root", "group")
+        roots = joined(linked, verified_in_blocks(_labelled(groups, linked), sets))
+    classes = nodes.select("node", "sid", "digest")
     if roots is None:
-        classes = classes.select("digest", F.col("sid").alias("component"))
+        classes = classes.select("digest", F.col("sid").alias("component"), F.col("node").alias("group"))
     else:
-        classes = classes.join(roots, classes.sid == roots.node, "left").select("digest", F.coalesce("root", "sid").alias("component"))
-    narrow = rows.select("id", "n", "digest")
-    linked = narrow.filter("id is not null and digest is not null").join(classes, "digest").select("id", "n", "component")
-    alone = narrow.filter("id is null or digest is null").select("id", "n", F.col("id").alias("component"))
-    return linked.unionByName(alone).select(
+        classes = classes.join(roots, "node", "left").select("digest", "sid", F.coalesce("root", "node").alias("group"))
+        least = classes.groupBy("group").agg(F.min("sid").alias("component"))
+        classes = classes.join(least, "group").select("digest", "component", "group")
+    narrow = rows.select("id", "text_digest", "n", "digest")
+    linked = narrow.filter("id is not null and digest is not null").join(classes, "digest").drop("digest")
+    alone = narrow.filter("id is null or digest is null").select("id", "text_digest", "n", F.col("id").alias("component"), F.lit(None).cast("bigint").alias("group"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``."""
+    return grouped(docs, id_col, text).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("component").alias("component_id"),

@@ -149,7 +149,7 @@ class Segments:
         self.said: list[bytes] = []
         self.held = 0
         none = np.zeros(0, np.int32)
-        self._parts = [dict(good=none.astype(bool), n_a=none, n_b=none, groups=none, links=none, a=none, b=none, group_a=none, group_b=none)]
+        self._parts = [dict(good=none.astype(bool), n_a=none, n_b=none, groups=none, links=none.astype(np.int64), a=none, b=none, group_a=none, group_b=none)]
 
     def full(self) -> bool:
         return len(self.number) > SEGMENTS or self.held > SEGMENTS * 64
@@ -206,7 +206,7 @@ class Segments:
             begin = end
         self.held += int(length.sum())
         learnt = dict(n_a=n_a, n_b=n_b, groups=groups, links=links, a=a, b=b, group_a=group_a, group_b=group_b)
-        self._parts.append(dict(good=good) | {k: v.astype(np.int32) for k, v in learnt.items()})
+        self._parts.append(dict(good=good) | {k: v if k == "links" else v.astype(np.int32) for k, v in learnt.items()})
 
     def _spelled(self, whole: Fragment, group_a: np.ndarray, group_b: np.ndarray, upto: np.ndarray) -> tuple[bytes, np.ndarray]:
         """All groups as text, each with a semicolon behind it, and where the text of the first ``upto`` groups ends."""

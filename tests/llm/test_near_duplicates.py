@@ -89,6 +89,46 @@ def test_chain_of_near_copies_is_one_group(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_texts_under_one_id_are_nodes_of_their_own(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " x"), (5, a), (4, "c d")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (8, 5), (4, 4)}
+    groups = minhash.grouped(spark.createDataFrame(rows, "doc_id bigint, text string")).select("id", "group").distinct().collect()
+    assert len({r.group for r in groups}) == 3 and {r.group for r in groups if r.id == 7} != {r.group for r in groups if r.id == 8}
+
+
+def test_a_family_of_thousands(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(5000):  # two words changed: any two copies are similar enough
+        t = list(base)
+        for _ in range(2):
+            t[rng.randrange(120)] = f"x{rng.randrange(10_000)}"
+        rows.append((i + 10, " ".join(t)))
+    rows += [(9000 + i, " ".join(f"u{i}_{k}" for k in range(30))) for i in range(500)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(got[i] == (10 if i < 9000 else i) for i, _ in rows)
+
+
+def test_pairs_of_blocks_are_joined_by_their_own_key(spark):
+    members = spark.range(200).selectExpr("0L as group", "id as node", "if(id < 150, 0L, id) as comp")
+    payload = spark.range(200).selectExpr("id as node", "id as data", "1 as one")
+    got = minhash._block_rows(members, payload, "one", 16).collect()
+    met = {(x.node, y.node) for r in got for x in r.lefts for y in r.rights}
+    assert met == {(x, y) for x in range(150, 200) for y in range(200)} and len(got) == 4 * 13
+
+
+def test_components_of_a_chain_a_star_and_pairs(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert set(got) == {*range(100, 161), *range(7, 60), 200, 201}
+    for group in (range(100, 161), range(7, 60), (200, 201)):
+        assert len({got[i] for i in group}) == 1 and got[group[0]] in group
+    assert minhash.components(spark.createDataFrame([], "a bigint, b bigint")) is None
+
+
 def test_no_rows_and_no_links(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(empty).count() == 0
