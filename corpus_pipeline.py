@@ -28,16 +28,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of repeated rows of that id, one."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("size")
-    )
-    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
-    mine = mine.join(kept, F.col("own_id") == F.col("id"), "left")
-    once = mine.filter("own_id is null or n_rows = 1 or size = 0")
-    repeated = mine.filter("n_rows > 1 and size > 0").dropDuplicates(["own_id"])
-    return once.select("row.*").unionByName(repeated.select("row.*"))
+    """The document with the smallest id of each group stays (of several texts under that id the one with the smallest
+    digest, of repeated rows the smallest row); documents without id or words stay."""
+    groups = materialize(minhash.grouped(docs.select("doc_id", "text")).select("id", "text_digest", "group"), "groups")
+    first = groups.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "text_digest")).alias("first"))
+    copies = groups.groupBy("id", "text_digest").agg(F.count(F.lit(1)).alias("n_rows"), F.max("group").alias("group"))
+    stay = copies.join(first, "group", "left").filter(F.col("group").isNull() | (F.col("first") == F.struct("id", "text_digest")))
+    alone = F.col("group").isNull() | (F.col("n_rows") == 1)
+    stay = stay.select(F.col("id").alias("stay_id"), F.col("text_digest").alias("stay_digest"), alone.alias("alone"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mine = docs.select(row, F.col("doc_id").cast("bigint").alias("own_id"), minhash.text_digest(F.col("text").cast("string")).alias("own_digest"))
+    mine = mine.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_digest") == F.col("stay_digest")))
+    repeated = mine.filter(~F.col("alone")).groupBy("own_id", "own_digest").agg(F.min("row").alias("row"))
+    return mine.filter("alone").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
