@@ -8,11 +8,10 @@ complement in the same scope, ``SCOPE`` code points around them in the same text
 * ``blob`` (20 or more base64 characters with both cases and a digit) with an identifier or access key,
 * ``endpoint`` (a URL) with both an identifier part and a secret part.
 
-Two parts are in scope when the gap between their intervals is at most ``SCOPE``, whatever their
-lengths (``by_gap=False`` measures from start to start instead, the narrower rule). The interval join
-works on buckets of ``SCOPE`` code points: parts that may complement are first reduced to their
-smallest start and largest end per text, role and bucket they touch, then a candidate meets the
-buckets it touches and one on each side, so a text full of parts makes no pairs.
+Two parts are in scope when they do not overlap and the gap between their intervals is at most ``SCOPE``, whatever
+their lengths; a part is never its own complement. The interval join works on buckets of ``SCOPE`` code points: per text,
+role and bucket the starts (and the ends) that lie in it are one row of positions, of which a bucket holds few, and a candidate
+meets the buckets of its own end and start and the next one on each side, so a text full of parts makes no pairs.
 
 A position is the sum of the lengths of all matches and gaps before it, in code points; it comes
 from a window over the few matches of a text, never over its characters.
@@ -102,35 +101,40 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return materialize(placed.select("key", "kind", (F.col("end") - F.col("len")).alias("start"), end.alias("end")), "secret-parts")
 
 
-def linked(found: DataFrame, scope: int = SCOPE, by_gap: bool = True) -> DataFrame:
+def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak rows of ``found`` that have their complement in scope."""
-    role = F.when(F.col("kind").isin(*IDENTIFIERS), "identifier").when(F.col("kind").isin(*SECRETS), "secret")
     bucket = lambda at: F.floor(at / scope)
-    last = F.col("end") if by_gap else F.col("start")
-    holders = found.withColumn("role", role).filter(F.col("role").isNotNull())
-    touched = holders.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(last))))
-    spans = touched.groupBy("key", "bucket", "role").agg(F.min("start").alias("low"), F.max(last).alias("high"))
+    roles = {"identifier": IDENTIFIERS, "secret": SECRETS}
+    side = lambda name, at: F.struct(F.lit(name).alias("side"), at.alias("at"))
+    holders = found.filter(F.col("kind").isin(*IDENTIFIERS, *SECRETS))
+    holders = holders.withColumn("x", F.explode(F.array(side("after", F.col("start")), side("before", F.col("end"))))).select("key", "kind", "x.*")
+    places = holders.groupBy("key", "side", bucket(F.col("at")).alias("bucket")).agg(
+        *[F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("at"))).alias(role) for role, kinds in roles.items()]
+    )
     weak = found.filter(F.col("kind").isin(*WEAK))
-    near = weak.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")) - 1, bucket(last) + 1)))
-    reach = (F.col("low") - last <= scope) & (F.col("start") - F.col("high") <= scope)
-    # within the buckets a candidate touches every part is in reach; beyond them the nearest one decides
-    met = near.join(spans, ["key", "bucket"]).filter(reach)
-    roles = met.groupBy("key", "kind", "start", "end").agg(F.collect_set("role").alias("roles"))
+    after, before = bucket(F.col("end")), bucket(F.col("start"))
+    looks = [F.struct(F.lit(name).alias("side"), b.alias("bucket")) for name, b in (("after", after), ("after", after + 1), ("before", before), ("before", before - 1))]
+    near = weak.withColumn("x", F.explode(F.array(*looks))).select("key", "kind", "start", "end", "x.*")
+    # a complement begins at most a scope behind the end, or ends at most a scope before the start
+    gap = lambda at: F.when(F.col("side") == "after", at - F.col("end")).otherwise(F.col("start") - at)
+    met = near.join(places, ["key", "side", "bucket"])
+    held = [F.max(F.exists(role, lambda at: gap(at).between(0, scope))).alias(role) for role in roles]
+    roles = met.groupBy("key", "kind", "start", "end").agg(*held)
     wanted = {"identifier": ("secret",), "blob": ("identifier",), "endpoint": ("identifier", "secret")}
     complete = F.lit(False)
     for kind, needs in wanted.items():
         both = F.lit(True)
         for need in needs:
-            both = both & F.array_contains("roles", need)
+            both = both & F.col(need)
         complete = complete | ((F.col("kind") == kind) & both)
     return roles.filter(complete).select("key", "kind", "start", "end")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE, by_gap: bool = True) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """``(key, kind, start, end)``: base findings, linked candidates, and the row without kind per key."""
     found = parts(docs, id_col, text)
     base = found.filter(F.col("kind").isNull() | F.col("kind").isin(*BASE))
-    return base.unionByName(linked(found, scope, by_gap))
+    return base.unionByName(linked(found, scope))
 
 
 def _digest_text(spans: Column) -> Column:
@@ -139,16 +143,13 @@ def _digest_text(spans: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE, by_gap: bool = False) -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``, a row for each row of ``docs``.
-
-    The registered query links by gaps; the default here is the rule from start to start.
-    """
+def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``, a row for each row of ``docs``."""
     number = F.lit(None).cast("int")
     for i, kind in enumerate(KINDS):
         number = F.when(F.col("kind") == kind, i).otherwise(number)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", number.alias("number"), "end", "kind"))
-    grouped = find_secrets(docs, id_col, text, scope, by_gap).groupBy("key").agg(
+    grouped = find_secrets(docs, id_col, text, scope).groupBy("key").agg(
         *[F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}") for kind in BASE],
         F.sort_array(F.collect_list(span)).alias("every"),
         F.max(F.when(F.col("kind").isNull(), F.col("end"))).alias("n_rows"),
@@ -164,7 +165,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scope: i
 
 
 def op2_query(spark: SparkSession, sf: str) -> DataFrame:
-    return report(spark.read.parquet(f"{sf}/documents.parquet"), by_gap=True)
+    return report(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def _sql_matches(kind: str) -> str:

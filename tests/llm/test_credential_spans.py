@@ -20,6 +20,10 @@ CREDENTIALS = [
         [("identifier", "access_key_id=ASIAQ7"), ("assign", "secret=aB3dE5fG7hI9jK1lM3nO5"), ("blob", "aB3dE5fG7hI9jK1lM3nO5")],
     ),
     ("build=aB3dE5fG7hI9jK1lM3nO5 DB_USER of the table", []),
+    ("user=aB3dE5fG7hI9jK1lM3nO5x", []),  # no part completes itself
+    ("clientId: 0123456789abcdef0123", [("hex", "0123456789abcdef0123")]),
+    ("https://host.example/?user=anna", []),
+    ("https://host.example/?user=anna&x=aB3dE5fG7hI9jK1lM3nO5", [("identifier", "user=anna"), ("blob", "aB3dE5fG7hI9jK1lM3nO5")]),
 ]
 
 
@@ -50,5 +54,5 @@ LONG_PARTS = [
 def test_scope_is_the_gap_between_parts(spark):
     rows = [(i, " " * shift + text) for shift in (0, 61) for i, (text, _) in enumerate(LONG_PARTS, 100 * shift)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
-    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in cl.report(docs, by_gap=True).collect()}
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in cl.report(docs).collect()}
     assert got == {i: spans(text, LONG_PARTS[i % 100][1]) for i, text in rows}

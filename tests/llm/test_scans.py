@@ -32,10 +32,10 @@ def linked_secrets(text):
     for word in base_secrets(text):
         kind, a, b = word.split(":")
         found.setdefault(kind, []).append((int(a), int(b)))
-    near = lambda a, kinds: any(abs(a - x) <= cl.SCOPE for k in kinds for x, _ in found.get(k, []))
-    ident, secret = (lambda a: near(a, cl.IDENTIFIERS)), (lambda a: near(a, cl.SECRETS))
-    good = {"identifier": secret, "blob": ident, "endpoint": lambda a: ident(a) and secret(a)}
-    return {f"{k}:{a}:{b}" for k in good for a, b in found[k] if good[k](a)}
+    near = lambda a, b, kinds: any(0 <= max(x - b, a - y) <= cl.SCOPE for k in kinds for x, y in found.get(k, []))
+    ident, secret = (lambda a, b: near(a, b, cl.IDENTIFIERS)), (lambda a, b: near(a, b, cl.SECRETS))
+    good = {"identifier": secret, "blob": ident, "endpoint": lambda a, b: ident(a, b) and secret(a, b)}
+    return {f"{k}:{a}:{b}" for k in good for a, b in found[k] if good[k](a, b)}
 
 
 def secret_texts():
