@@ -117,7 +117,7 @@ def ids_per_text(table: PieceTable, chunk: Chunk) -> tuple[np.ndarray, np.ndarra
 
 def encode(docs: DataFrame, vocab: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``: the ids of each whole text as ``array<int>``."""
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def _bytes_of(ids: np.ndarray, vocab: str) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(docs: DataFrame, vocab: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the text of each ``array<int>`` of ids, special tokens included."""
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

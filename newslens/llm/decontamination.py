@@ -4,7 +4,7 @@ The 13-word windows of the benchmark (an item with fewer words is one window) ar
 table. Training texts are scanned window by window: a map of window hashes of 256 kB, the same
 size for any benchmark, rules out most windows; only the text of the others leaves the row
 and meets the table, and equality of the whole window text verifies the hit. A benchmark with
-more than ``BROADCAST_WINDOWS`` windows is joined by a shuffle instead; the result is the same.
+more than ``BROADCAST_BYTES`` is joined by a shuffle instead; the result is the same.
 
 Defined results: a null or empty text, and one without words, has no words and no hits; so has a
 text shorter than every window. Several benchmark rows with one item_id are one item; null items and
@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.functions.scalars import let
+from newslens.runtime import materialize
 
 WINDOW = 13
 SHARE = 20  # contaminated if at least one word in so many is hit
 MAP_BITS = 18
-BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
 # The characters that separate words, for text in lower case and as written.
 BETWEEN_LOWER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -75,9 +76,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
     ``hits`` are the sorted ``(at, length)`` of the windows found, ``items`` the ids of their items.
     """
-    windows = benchmark_windows(benchmark, window=window).persist()
-    # entries of the table: a window counts once for every item that has it
-    sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.sum(F.size("items")).alias("n")).collect()}
+    windows = materialize(benchmark_windows(benchmark, window=window), "benchmark-windows")
+    held = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i.cast("string")) + 16)
+    sizes = {r["length"]: r["bytes"] for r in windows.groupBy("length").agg(F.sum(held).alias("bytes")).collect()}
     known = F.lit(slot_map(windows))
 
     def found_of(words: Column, slots: Column, length: int) -> Column:
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
     )
     rows = rows.select("id", "text_hash", "c.at", "c.length", "c.gram")
     table = windows.select("gram", "length", "items")
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+    if sum(sizes.values()) <= BROADCAST_BYTES:  # beyond it the few candidates are shuffled to the windows, with the same result
         table = F.broadcast(table)
     met = rows.join(table, ["gram", "length"], "left").filter((F.col("at") == 0) | F.col("items").isNotNull())
     hit = F.when(F.col("at") > 0, F.struct("at", "length"))

@@ -224,7 +224,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def find_personal_data(docs: DataFrame, model: BiLstmCrf | None, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """Add ``out``: ``array<struct<kind, start, end, base>>`` by kind and start, over whole texts."""
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
     span = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("base", "boolean")
     schema = docs.select(*names).schema.add(out, T.ArrayType(span))
     kind_of = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])

@@ -146,7 +146,7 @@ def train(labelled: DataFrame, sizes: dict[int, int], features: int = FEATURES)
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add ``out``, 0 to 1; a narrow pass over whole texts."""
-    names = [c for c in docs.columns if c != out]
+    names = [c for c in docs.columns if c.lower() != out.lower()]
     schema = docs.select(*names).schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,7 +223,7 @@ def bench_rows():
 
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_contamination(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", broadcast)
     items, texts = bench_rows()
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x"), (None, texts[5], "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, hits string").repartition(3)
