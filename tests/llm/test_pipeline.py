@@ -87,3 +87,13 @@ def test_empty_table_passes_through(spark, stages):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_distinct_texts_under_one_id_both_stay(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a, "en"), (5, b, "en"), (5, a, "en"), (5, a + " x", "en"), (7, b + " x", "de"), (None, a, "en"), (None, None, None), (8, "", "en"), (8, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = [tuple(r) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    of_five = [t for i, t, _ in kept if i == 5]
+    assert len(of_five) == 2 and {t[0] for t in of_five} == {"a", "b"}
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(5, t, "en") for t in of_five] + rows[5:]))
