@@ -14,6 +14,7 @@ from catalog.common import (
     sql_sentences,
     sql_squeeze,
     table,
+    first_sentence,
 )
 from newslens.config import Cleaning, DatasetSpec
 from newslens.functions import text as tx
@@ -231,7 +232,11 @@ def balance(spark, sf):
 
 
 def statistics(spark, sf):
-    return corpus.statistics(named_articles(spark, sf)).withColumn("value", F.round("value", 6))
+    """All documents; those without a label count everywhere but in the label histogram."""
+    quality = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "real").when(F.col("quality") == 0, "fake").alias("label"))
+    every = documents(spark, sf).join(quality, "doc_id", "left")
+    titled = every.select("text", "source", "label", first_sentence(F.col("text")).alias("title"))
+    return corpus.statistics(titled).withColumn("value", F.round("value", 6))
 
 
 def many_datasets(spark, sf):
@@ -341,12 +346,14 @@ ORACLE = {
     "u2_balance": f"""WITH {_ART} SELECT id, label FROM named
       QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id))
         <= (SELECT min(n) FROM (SELECT count(*) AS n FROM named GROUP BY label))""",
-    "u3_statistics": f"""WITH {_ART}
+    "u3_statistics": f"""WITH art AS (SELECT text, source, {sql_squeeze('text')} AS sq, CASE quality WHEN 1 THEN 'real' WHEN 0 THEN 'fake' END AS label
+        FROM documents LEFT JOIN labels USING (doc_id)),
+      named AS (SELECT *, {sql_sentences('sq')}[1] AS title FROM art)
       SELECT 'total_samples' AS metric, '' AS key, count(*)::DOUBLE AS value FROM named
       UNION ALL SELECT 'avg_text_length', '', round(avg(length(text)), 6) FROM named
       UNION ALL SELECT 'avg_word_count', '', round(avg(len(string_split(sq, ' '))), 6) FROM named
       UNION ALL SELECT 'has_title', '', count(*) FILTER (length(title) > 0)::DOUBLE FROM named
-      UNION ALL SELECT 'label_distribution', label, count(*)::DOUBLE FROM named GROUP BY label
+      UNION ALL SELECT 'label_distribution', label, count(*)::DOUBLE FROM named WHERE label IS NOT NULL GROUP BY label
       UNION ALL SELECT 'source_distribution', source, count(*)::DOUBLE FROM named GROUP BY source""",
     "u5_many_datasets": f"""WITH {_ART} SELECT 'a' AS source, label, count(*) AS rows FROM named GROUP BY label
       UNION ALL SELECT 'b', label, count(*) FROM named WHERE label = 'fake' GROUP BY label
