@@ -15,7 +15,7 @@ from newslens.operators import stats
 from newslens.operators.classify import fit_classifier
 from newslens.operators.features import lexical_features
 from newslens.operators.fidelity import distance_correlation
-from newslens.operators.transition import fit_transition, transition_table, with_projection
+from newslens.operators.transition import fit_centred_transition, fit_transition, transition_table, with_projection
 from newslens.plans import sweeps
 from newslens.plans import training as tr
 from newslens.runtime import materialize, scratch_path, spread
@@ -63,6 +63,13 @@ def linear_recovery(spark, sf):
     return with_projection(df, "A", t, ("linear",)).select("vec_id", F.round("linear_hat", 5).alias("linear"))
 
 
+def centred_projection(spark, sf):
+    """Vectors centred by their mean: the projection is the linear target less its mean."""
+    df = _vectors(spark, sf)
+    t, mean = fit_centred_transition(df, "A", ("linear",))
+    return with_projection(df, "A", t, ("linear",), mean=mean).select("vec_id", (F.round("linear_hat", 4) + F.lit(0.0)).alias("linear"))
+
+
 # ---- classifiers ----------------------------------------------------------
 
 
@@ -228,6 +235,7 @@ QUERIES = {
     "p8_minmax_apply": minmax_apply,
     "m2_transition": transition,
     "m3_projection": linear_recovery,
+    "x8_centred_projection": centred_projection,
     "m4_linear_svm": classifier("linear_svm"),
     "m5_logreg": classifier("logreg"),
     "m6_rbf_svm": classifier("rbf_svm"),
@@ -287,6 +295,8 @@ ORACLE = {
     "m2_transition": """SELECT (unnest(range(len(any_value(embedding)))))::INT AS dim, 'linear' AS feature,
       unnest(range(len(any_value(embedding))))::DOUBLE AS weight FROM embeddings""",
     "m3_projection": "SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: i * embedding[i + 1]::DOUBLE)), 5) AS linear FROM embeddings",
+    "x8_centred_projection": """WITH v AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: i * embedding[i + 1]::DOUBLE)) AS x FROM embeddings)
+      SELECT vec_id, round(x - avg(x) OVER (), 4) + 0.0 AS linear FROM v""",
     "v1_binary_metrics": f"""WITH {_RULE}, c AS (SELECT lang, {_CONF} FROM rule GROUP BY lang),
       r AS (SELECT *, (tp + tn)::DOUBLE / greatest(1, tp + tn + fp + fn) AS a, tp::DOUBLE / greatest(1, tp + fp) AS p, tp::DOUBLE / greatest(1, tp + fn) AS r FROM c)
       SELECT lang, tp, tn, fp, fn, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall,

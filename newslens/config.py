@@ -93,6 +93,7 @@ class RunSettings:
     max_token_spans: int | None = 30  # spans an evidence record keeps; None keeps all
     max_keyword_spans: int | None = 10
     svd_tolerance: float = 1.0e-8
+    centre: bool = False  # subtract the mean of the training vectors before the transition
     classifier: str = "linear_svm"
     C: float = 1.0
     gamma: float = 0.5

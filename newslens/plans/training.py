@@ -20,7 +20,7 @@ from newslens.operators.evidence import with_evidence
 from newslens.operators.features import lexical_features
 from newslens.operators.fidelity import distance_correlation
 from newslens.operators.splits import article_groups, select_split, stratified_splits
-from newslens.operators.transition import fit_transition, transition_table, with_projection
+from newslens.operators.transition import fit_centred_transition, fit_transition, transition_table, with_projection
 from newslens.runtime import exists, materialize, spread
 from newslens.sources.writers import write_splits, write_tables
 
@@ -125,6 +125,7 @@ class Prepared:
     T: np.ndarray | None
     features: tuple[str, ...]
     train: str
+    mean: np.ndarray | None = None
 
     @property
     def train_rows(self) -> DataFrame:
@@ -136,8 +137,12 @@ def prepare(rows: DataFrame, settings: RunSettings, transition: bool = True, tra
     features = settings.features
     params = fit_minmax(rows.filter(train), features)
     scaled = materialize(apply_minmax(rows, params), "run-rows")
-    t = fit_transition(scaled.filter(train), "A", features, settings.svd_tolerance) if transition else None
-    return Prepared(scaled, params, t, features, train)
+    t = mean = None
+    if transition and settings.centre:
+        t, mean = fit_centred_transition(scaled.filter(train), "A", features, settings.svd_tolerance)
+    elif transition:
+        t = fit_transition(scaled.filter(train), "A", features, settings.svd_tolerance)
+    return Prepared(scaled, params, t, features, train, mean)
 
 
 def rows_of_seed(features: DataFrame, splits: DataFrame, seed: int) -> DataFrame:
@@ -176,7 +181,7 @@ class Run:
 def fit_and_score(features: DataFrame, splits: DataFrame, settings: RunSettings, seed: int) -> Run:
     prepared = prepare(rows_of_seed(features, splits, seed), settings)
     model = fit(prepared, settings, seed)
-    scored = materialize(model.predict(with_projection(prepared.rows, "A", prepared.T, prepared.features)), "scored")
+    scored = materialize(model.predict(with_projection(prepared.rows, "A", prepared.T, prepared.features, mean=prepared.mean)), "scored")
     return Run(prepared, model, scored, metrics_table(evaluation_rows(scored, settings, seed), RUN_KEYS))
 
 
@@ -198,8 +203,11 @@ def run_training(
     reports = [
         classification_report(run.scored.filter(F.col("split") == s)).withColumn("split", F.lit(s)) for s in ("val", "test")
     ]
+    mean = run.prepared.mean
+    centre = {} if mean is None else {"A_mean": spark.createDataFrame(list(enumerate(mean.tolist())), "dim int, mean double")}
     write_tables(
         {
+            **centre,
             "A": run.scored.select("id", "A"),
             "B": run.scored.select("id", *names),
             "B_raw": features.select("id", *names),

@@ -11,7 +11,7 @@ from newslens.operators import evaluate as ev
 from newslens.operators import fidelity, stats
 from newslens.operators.classify import Classifier, fit_classifier
 from newslens.operators.ordering import running_total
-from newslens.operators.transition import fit_transition, with_projection
+from newslens.operators.transition import fit_centred_transition, fit_transition, with_projection
 from newslens.plans import sweeps
 from newslens.plans import training as tr
 
@@ -53,6 +53,25 @@ def test_transition_without_full_rank(spark, rows, rank):
     assert np.allclose(got, np.linalg.pinv(a, rcond=1e-8) @ b, atol=1e-8)
 
 
+@pytest.mark.parametrize("rows, rank", [(60, 8), (40, 3), (5, 5), (1, 1)])
+def test_centred_transition_equals_centring_first(spark, rows, rank):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(rows, rank)) @ rng.normal(size=(rank, 8)) + 5.0, rng.normal(size=(rows, 2)) + 1.0
+    df = vectors(spark, a, b, ["x", "y"]).repartition(5)
+    got, mean = fit_centred_transition(df, "A", ["x", "y"])
+    centred = a - a.mean(axis=0)
+    assert np.allclose(mean, a.mean(axis=0), atol=1e-9)
+    assert np.allclose(got, np.linalg.pinv(centred, rcond=1e-8) @ b if rows > 1 else 0.0, atol=1e-9)
+    hats = with_projection(df, "A", got, ["x", "y"], mean=mean).select("A", "x_hat", "y_hat").collect()
+    assert all(np.allclose([r.x_hat, r.y_hat], (np.array(r.A) - a.mean(axis=0)) @ got, atol=1e-9) for r in hats)
+
+
+def test_centred_transition_of_equal_vectors_is_zero(spark):
+    df = vectors(spark, [[0.1, 0.7, 3.0]] * 7, [[float(i)] for i in range(7)], ["x"]).repartition(3)
+    got, mean = fit_centred_transition(df, "A", ["x"])
+    assert not got.any() and np.allclose(mean, [0.1, 0.7, 3.0])
+
+
 def test_transition_errors(spark):
     with pytest.raises(ValueError):
         fit_transition(spark.createDataFrame([], "A array<double>, x double"), "A", ["x"])
