@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.common import table
 from newslens.operators import agreement as ag
 from newslens.operators import boundary as bd
+from newslens.operators import coverage as cv
 
 ROUNDS = 6
 
@@ -63,7 +64,15 @@ def x6_plateau(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("round", F.round("kappa", 8).alias("kappa"), F.round("gain", 8).alias("gain"), "flat", "stop")
 
 
-QUERIES = {f.__name__: f for f in (x1_class_clusters, x2_cluster_affinity, x3_boundary_pairs, x5_kappa_bootstrap, x6_plateau)}
+def x4_greedy_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents near the rule's limit of 400 characters, dense in (lang, source), spread over language, source and length."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 100).alias("hundreds"), (F.col("n_chars") / (F.col("n_chars") + 400.0)).alias("p"))
+    dense = cv.cell_density(docs, ["lang", "source"])
+    out = cv.greedy_coverage(dense.withColumn("priority", cv.uncertainty(F.col("p")) * F.col("density")), "doc_id", "priority", ["lang", "source", "hundreds"])
+    return out.select("step", F.col("id").alias("doc_id"), F.round("gain", 10).alias("gain"))
+
+
+QUERIES = {f.__name__: f for f in (x1_class_clusters, x2_cluster_affinity, x3_boundary_pairs, x4_greedy_coverage, x5_kappa_bootstrap, x6_plateau)}
 
 _AFFINITY = f"""v AS (SELECT vec_id AS id, CAST(label AS INT) AS cluster, label >= 5 AS side, embedding::DOUBLE[] AS e FROM embeddings),
   x AS (SELECT cluster, side, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS dim FROM v),
@@ -99,6 +108,19 @@ ORACLE = {
         row_number() OVER (PARTITION BY p, q, a.id ORDER BY list_distance(a.e, b.e), b.id) AS rank
       FROM pairs JOIN v a ON a.cluster = p JOIN v b ON b.cluster = q WHERE place <= {bd.KEPT_SHARE})
       SELECT p, q, id, CAST(rank AS INT) AS rank, neighbour, round(distance, 6) AS distance FROM near WHERE rank <= {bd.NEIGHBOURS}""",
+    "x4_greedy_coverage": f"""WITH RECURSIVE cells AS (SELECT lang, source, count(*)::DOUBLE AS n FROM documents GROUP BY ALL),
+  items AS MATERIALIZED (SELECT doc_id, (1.0::DOUBLE - abs(2.0::DOUBLE * (n_chars / (n_chars + 400.0::DOUBLE)) - 1.0::DOUBLE)) * (n / (SELECT max(n) FROM cells)) AS pr,
+      coalesce('=' || d.lang, '') AS f1, coalesce('=' || d.source, '') AS f2, coalesce('=' || (n_chars // 100), '') AS f3
+    FROM documents d JOIN cells c ON d.lang IS NOT DISTINCT FROM c.lang AND d.source IS NOT DISTINCT FROM c.source),
+  pick AS (
+    SELECT 0 AS step, 0::BIGINT AS doc_id, 0::DOUBLE AS gain, []::BIGINT[] AS ids, []::VARCHAR[] AS l1, []::VARCHAR[] AS l2, []::VARCHAR[] AS l3
+    UNION ALL
+    SELECT step + 1, b.id, -b.g, list_append(ids, b.id), list_append(l1, b.f1), list_append(l2, b.f2), list_append(l3, b.f3)
+    FROM (SELECT p.step, p.ids, p.l1, p.l2, p.l3, min({{'g': -(i.pr * ((1.0::DOUBLE / (1 + len(list_filter(p.l1, lambda x: x = i.f1)))
+        + 1.0::DOUBLE / (1 + len(list_filter(p.l2, lambda x: x = i.f2))) + 1.0::DOUBLE / (1 + len(list_filter(p.l3, lambda x: x = i.f3)))) / 3.0::DOUBLE)),
+        'id': i.doc_id, 'f1': i.f1, 'f2': i.f2, 'f3': i.f3}}) AS b
+      FROM pick p, items i WHERE p.step < {cv.BUDGET} AND i.pr >= 0 AND NOT list_contains(p.ids, i.doc_id) GROUP BY ALL))
+  SELECT step, doc_id, round(gain, 10) AS gain FROM pick WHERE step > 0""",
     "x5_kappa_bootstrap": f"""WITH {_RATED}, draws AS (
       SELECT lang AS part, a, b, CAST(r AS INT) AS replicate,
         ('0x' || substr(md5((r // 4) || ':' || doc_id), 1 + 8 * (r % 4), 8))::UINTEGER::BIGINT AS draw
