@@ -9,6 +9,7 @@ from catalog.common import table
 from newslens.operators import agreement as ag
 from newslens.operators import boundary as bd
 from newslens.operators import coverage as cv
+from newslens.operators import structure as st
 
 ROUNDS = 6
 
@@ -72,7 +73,13 @@ def x4_greedy_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("step", F.col("id").alias("doc_id"), F.round("gain", 10).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (x1_class_clusters, x2_cluster_affinity, x3_boundary_pairs, x4_greedy_coverage, x5_kappa_bootstrap, x6_plateau)}
+def x7_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """What the first 16 coordinates keep of the distances and neighbours of whole vectors; queries are ids divisible by 100."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100 == 0).alias("query"), F.col("embedding").alias("a"), F.slice("embedding", 1, 16).alias("b"))
+    return st.structure_kept(rows).select("pairs", F.round("spearman", 6).alias("spearman"), "queries", F.round("preservation", 8).alias("preservation"))
+
+
+QUERIES = {f.__name__: f for f in (x1_class_clusters, x2_cluster_affinity, x3_boundary_pairs, x4_greedy_coverage, x5_kappa_bootstrap, x6_plateau, x7_structure)}
 
 _AFFINITY = f"""v AS (SELECT vec_id AS id, CAST(label AS INT) AS cluster, label >= 5 AS side, embedding::DOUBLE[] AS e FROM embeddings),
   x AS (SELECT cluster, side, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS dim FROM v),
@@ -141,4 +148,11 @@ ORACLE = {
   ends AS (SELECT *, (flat AND coalesce(lag(flat) OVER (ORDER BY round), FALSE)) OR coalesce(kappa >= {ag.GATE}, FALSE) AS ends FROM flats)
   SELECT CAST(round AS INT) AS round, round(kappa, 8) AS kappa, round(gain, 8) AS gain, flat,
     coalesce(round = (SELECT min(round) FROM ends WHERE ends), FALSE) AS stop FROM ends""",
+    "x7_structure": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a, (embedding[1:16])::DOUBLE[] AS b FROM embeddings),
+  d AS (SELECT q.id AS query, o.id, list_distance(q.a, o.a) AS x, list_distance(q.b, o.b) AS y FROM v q JOIN v o ON q.id % 100 = 0 AND q.id <> o.id),
+  r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+      rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry,
+      row_number() OVER (PARTITION BY query ORDER BY x, id) <= {st.NEIGHBOURS} AS na, row_number() OVER (PARTITION BY query ORDER BY y, id) <= {st.NEIGHBOURS} AS nb FROM d),
+  o AS (SELECT query, count(*) FILTER (na AND nb) / count(*) FILTER (na) AS share FROM r GROUP BY query)
+  SELECT (SELECT count(*) FROM d) AS pairs, (SELECT round(corr(rx, ry), 6) FROM r) AS spearman, count(*) AS queries, round(avg(share), 8) AS preservation FROM o""",
 }

@@ -21,7 +21,7 @@ def range_buckets(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     """
     shares = [i / buckets for i in range(1, buckets)]
     (bounds,) = df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()
-    splits = [-inf, *sorted({float(b) for b in bounds or []}), inf]
+    splits = [-inf, *sorted({float(b) for b in bounds or [0.0]}), inf]
     cut = Bucketizer(splits=splits, inputCol="_key_double", outputCol="_bucket", handleInvalid="keep")
     return cut.transform(df.withColumn("_key_double", F.col(key).cast("double"))).drop("_key_double")
 
