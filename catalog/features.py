@@ -25,8 +25,10 @@ from newslens.config import FACT_KEYWORDS, FEATURE_ORDER
 from newslens.functions import text as tx
 from newslens.functions.encoders import pick_encoder
 from newslens.functions.scalars import cosine
+from newslens.operators.classify import Classifier
 from newslens.operators.embedding import text_vectors, with_document_vectors
 from newslens.operators.features import lexical_features, lexicon_hits, with_text_parts
+from newslens.operators.report import report_records
 from newslens.plans.training import article_evidence, article_features
 from newslens.runtime import materialize, spread
 
@@ -133,6 +135,20 @@ def feature_means(spark, sf):
     )
 
 
+# A stated linear rule over raw features.
+RULE = Classifier("linear_svm", ("SR", "SP", "SQ", "FC"), (2.0, 1.0, -1.5, 0.5), -0.75)
+
+
+def report(spark, sf):
+    """Report records unfolded: decision, contributions, digest of the marked text, named sources."""
+    rows = articles(spark, sf)
+    features = materialize(article_features(rows, SETTINGS, evidence=True), "evidence")
+    records = report_records(features, features.select("id", F.col("evidence").alias("features")), rows, RULE, {"settings": SETTINGS.digest()})
+    of = lambda n: F.filter("features", lambda f: f["name"] == n)[0]["contribution"]
+    added = [(F.round(of(n), 6) + F.lit(0.0)).alias(f"add_{n}") for n in RULE.features]
+    return records.select("id", "decision.pred", F.round("decision.margin", 6).alias("margin"), *added, F.md5("annotated").alias("annotated_md5"), F.array_join("sources", ",").alias("sources"))
+
+
 QUERIES = {
     "e1_hash_vectors": hash_vectors,
     "e2_model_vectors": model_vectors,
@@ -150,6 +166,7 @@ QUERIES = {
     "f8_fact_confirmation": lexical_feature("FC"),
     "f9_evidence_spans": evidence_spans,
     "f10_evidence_records": evidence_records,
+    "x9_report_records": report,
     "f10_feature_means": feature_means,
 }
 
@@ -279,6 +296,16 @@ ORACLE = {
     "f7_selective_quoting": _lex("SQ"),
     "f8_fact_confirmation": _lex("FC"),
     "f9_evidence_spans": f"""WITH {_SPANS} SELECT id, name, pos, s AS "start", e AS "end" FROM spans""",
+    "x9_report_records": f"""WITH {ART_FEATURES}, {_SPANS[len(ART_PARTS) + 2:]},
+      added AS (SELECT id, {', '.join(f'{w} * {c} AS add_{c}' for c, w in zip(RULE.features, RULE.weights))} FROM feat),
+      marked AS (SELECT id, s, e, lag(e, 1, 0) OVER (PARTITION BY id ORDER BY s) AS b FROM (SELECT DISTINCT id, s, e FROM tokspan)),
+      body AS (SELECT m.id, string_agg(substr(text, b + 1, s - b) || '[[' || substr(text, s + 1, e - s) || ']]', '' ORDER BY s) AS head, max(e) AS e
+        FROM marked m JOIN art USING (id) GROUP BY m.id),
+      named AS (SELECT id, string_agg(k, ',' ORDER BY ki) AS sources FROM aparts, kw WHERE contains(lower(text), k) GROUP BY id),
+      total AS (SELECT *, {RULE.intercept} + {' + '.join(f'add_{c}' for c in RULE.features)} AS m FROM added)
+      SELECT t.id, (m > 0)::INT AS pred, round(m, 6) AS margin, {', '.join(f'round(add_{c}, 6) + 0.0 AS add_{c}' for c in RULE.features)},
+        md5(coalesce(b.head, '') || substr(a.text, coalesce(b.e, 0) + 1)) AS annotated_md5, coalesce(n.sources, '') AS sources
+      FROM total t JOIN art a USING (id) LEFT JOIN body b USING (id) LEFT JOIN named n USING (id)""",
     "f10_evidence_records": f"""WITH {_RECORD} SELECT l.id, l.pos, l.name, round(l.value, 6) AS value, l.notes,
       coalesce(c.c, 0)::INT AS n_spans, l.meta FROM long l LEFT JOIN counted c USING (id, name)""",
     "f10_feature_means": f"""WITH {ART_FEATURES} SELECT label, count(*) AS n,

@@ -19,6 +19,7 @@ from newslens.operators.evaluate import binary_metrics, classification_report, r
 from newslens.operators.evidence import with_evidence
 from newslens.operators.features import lexical_features
 from newslens.operators.fidelity import distance_correlation
+from newslens.operators.report import report_records
 from newslens.operators.splits import article_groups, select_split, stratified_splits
 from newslens.operators.transition import fit_centred_transition, fit_transition, transition_table, with_projection
 from newslens.runtime import exists, materialize, spread
@@ -227,6 +228,13 @@ def run_training(
     return replace(run, folder=out)
 
 
+def run_report(run: Run, articles: DataFrame, settings: RunSettings) -> DataFrame:
+    """Report record of every row of a finished run; provenance names its settings, encoder, classifier and seed."""
+    facts = {"settings": settings.digest(), "encoder": settings.encoder, "classifier": run.classifier.kind, "seed": run.classifier.seed}
+    evidence = articles.sparkSession.read.parquet(f"{run.folder}/evidence")
+    return report_records(run.scored, evidence, articles, run.classifier, facts)
+
+
 def evaluate_saved(spark: SparkSession, run_folder: str, split: str = "test") -> DataFrame:
     """Score a saved run again on val or test; the one-row result is saved next to it."""
     if split not in ("val", "test"):
