@@ -15,7 +15,7 @@ give repeated results; other columns are kept as they are.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -115,11 +115,10 @@ def ids_per_text(table: PieceTable, chunk: Chunk) -> tuple[np.ndarray, np.ndarra
     return ids, np.diff(before[np.append(first, len(entries))])
 
 
-def encode(docs: DataFrame, vocab: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``: the ids of each whole text as ``array<int>``."""
-    names = [c for c in docs.columns if c.lower() != out.lower()]
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
+def _encoder(vocab: str, text: str, out: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(vocab)
         for batch in batches:
@@ -131,9 +130,9 @@ def encode(docs: DataFrame, vocab: str, text: str = "text", out: str = "ids") ->
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return run
 
 
 def _bytes_of(ids: np.ndarray, vocab: str) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +149,7 @@ def _bytes_of(ids: np.ndarray, vocab: str) -> tuple[np.ndarray, np.ndarray]:
     return flat_gather(pool, offsets, lengths, ids), np.cumsum(lengths[ids])
 
 
-def decode(docs: DataFrame, vocab: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the text of each ``array<int>`` of ids, special tokens included."""
-    names = [c for c in docs.columns if c.lower() != out.lower()]
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(out, T.StringType(), False)])
-
+def _decoder(vocab: str, ids: str, out: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
@@ -171,9 +166,36 @@ def decode(docs: DataFrame, vocab: str, ids: str = "ids", out: str = "decoded")
                 raw = blob.tobytes()
                 texts.extend(raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:]))
                 row = last
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+
+    return run
+
+
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
+
+
+def _mapped(docs: DataFrame, run: Batches, *added: T.StructField) -> DataFrame:
+    """One narrow pass; columns of ``docs`` that an added one would clash with go."""
+    taken = {f.name.lower() for f in added}
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in taken])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+
+
+def encode(docs: DataFrame, vocab: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add ``out``: the ids of each whole text as ``array<int>``."""
+    return _mapped(docs, _encoder(vocab, text, out), _ids_field(out))
+
+
+def decode(docs: DataFrame, vocab: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``: the text of each ``array<int>`` of ids, special tokens included."""
+    return _mapped(docs, _decoder(vocab, ids, out), T.StructField(out, T.StringType(), False))
+
 
-    return docs.select(*names).mapInArrow(run, schema)
+def encode_and_decode(docs: DataFrame, vocab: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Both columns by one Python worker a task; :func:`encode` and :func:`decode` in a row would run two."""
+    first, second = _encoder(vocab, text, ids), _decoder(vocab, ids, out)
+    return _mapped(docs, lambda batches: second(first(batches)), _ids_field(ids), T.StructField(out, T.StringType(), False))
 
 
 def _decimal_table(size: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from newslens.llm import arrow_tokens, bpe_pairs, pretokens, token_counts
 from newslens.runtime import scratch_path
@@ -65,6 +66,7 @@ def test_encode_and_decode(docs, expected, library):
     coded = bpe_pairs.encode(docs, VOCAB)
     assert coded.columns == ["doc_id", "text", "n_tokens", "ids"]  # the clashing column gives way
     rows = bpe_pairs.decode(coded, VOCAB).collect()
+    assert rows == bpe_pairs.encode_and_decode(docs.withColumn("IDS", F.lit(0)), VOCAB).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
         assert r.decoded == (r.text or "") and r.n_tokens == 7
