@@ -60,8 +60,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_tokens, ids, decoded_sha256)``: the ids, and a digest of what they decode to."""
     vocab = bpe_pairs.vocabulary_path()
-    coded = bpe_pairs.encode(docs.select("doc_id", "lang", "source", "text"), vocab, out="ids").drop("text")
-    decoded = bpe_pairs.decode(coded, vocab, ids="ids", out="_decoded")
+    decoded = bpe_pairs.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), vocab, ids="ids", out="_decoded")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
