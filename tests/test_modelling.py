@@ -201,6 +201,21 @@ def test_run_leaves_all_tables(spark, tmp_path):
     assert again.accuracy == first.accuracy and (again.auc == first.auc or math.isnan(again.auc))
 
 
+def test_centred_run_and_its_report(spark, tmp_path):
+    settings = RunSettings(seeds=(13,), n_splits=1, max_bits=0, lexicons=Lexicons(), centre=True)
+    articles = sample_articles(spark)
+    run = tr.run_training(articles, settings, 13, str(tmp_path))
+    kept = [r.mean for r in spark.read.parquet(f"{run.folder}/A_mean").orderBy("dim").collect()]
+    train = np.array([r.A for r in run.scored.filter("split = 'train'").select("A").collect()])
+    assert np.allclose(kept, train.mean(axis=0), atol=1e-9)
+    margins = {r.id: r.score for r in run.scored.select("id", "score").collect()}
+    records = tr.run_report(run, articles, settings).collect()
+    assert {r.id for r in records} == set(margins)
+    for r in records:
+        total = sum(f.contribution for f in r.features if f.contribution is not None) + r.decision.intercept
+        assert abs(total - margins[r.id]) < 1e-9 and r.provenance["classifier"] == "linear_svm"
+
+
 def test_stage_tables_follow_rows_and_settings(spark, tmp_path):
     settings = RunSettings(seeds=(13,), n_splits=1, dedupe=False)
     df = sample_articles(spark)
