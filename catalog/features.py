@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ from newslens.functions.scalars import cosine
 from newslens.operators.classify import Classifier
 from newslens.operators.embedding import text_vectors, with_document_vectors
 from newslens.operators.features import lexical_features, lexicon_hits, with_text_parts
+from newslens.operators.lexicon_tables import store_verdicts, table_features, verdict_table
 from newslens.operators.report import report_records
 from newslens.plans.training import article_evidence, article_features
-from newslens.runtime import materialize, spread
+from newslens.runtime import materialize, scratch_path, spread
 
 FEATURES = (*FEATURE_ORDER, "FC")
 
@@ -104,13 +107,41 @@ def lexicon_table_share(spark, sf):
     return hits.select("doc_id", "hits", "tokens", F.round("share", 6).alias("share"))
 
 
+# Lexicon tables made of the words of the corpus: the first hex digit of a word's md5 says which lexicons hold it.
+DIGITS = {"positive": "0123", "negative": "34567", "unusual": "789a"}
+
+
+def _verdicts(spark, sf):
+    words = documents(spark, sf).select(F.explode(tx.clean_words(tx.squeeze("text"))).alias("word")).filter("word <> ''").distinct()
+    digit = F.substring(F.md5("word"), 1, 1)
+    words = materialize(words, "corpus-words")
+    return verdict_table(*[words.filter(digit.isin(*DIGITS[k])) for k in ("positive", "negative", "unusual")])
+
+
+def table_feature(name):
+    def query(spark, sf):
+        return table_features(_docs(spark, sf), _verdicts(spark, sf), "doc_id").select("doc_id", F.round(name, 9).alias(name))
+
+    return query
+
+
+def table_spans(spark, sf):
+    """Spans of a run whose lexicons are a stored table."""
+    settings = replace(SETTINGS, lexicon_table=store_verdicts(_verdicts(spark, sf), scratch_path(spark, "lexicons")))
+    return _unfold(materialize(article_evidence(articles(spark, sf), settings), "evidence"))
+
+
 def _evidence(spark, sf):
     """The evidence table as a run stores it; readers unfold the stored table."""
     return materialize(article_evidence(articles(spark, sf), SETTINGS), "evidence")
 
 
 def evidence_spans(spark, sf):
-    entries = _evidence(spark, sf).select("id", F.explode("features").alias("f"))
+    return _unfold(_evidence(spark, sf))
+
+
+def _unfold(evidence):
+    entries = evidence.select("id", F.explode("features").alias("f"))
     spans = entries.select("id", F.col("f.name").alias("name"), F.posexplode("f.evidence.spans").alias("pos", "s"))
     return spans.select("id", "name", "pos", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
@@ -160,6 +191,11 @@ QUERIES = {
     "f3_headline_coherence": similarity_feature("HS"),
     "f4_unusual_language": lexical_feature("UL"),
     "f4_lexicon_table_share": lexicon_table_share,
+    "f2_table_subjectivity": table_feature("SR"),
+    "f4_table_unusual_language": table_feature("UL"),
+    "f5_table_polarity": table_feature("SP"),
+    "f6_table_consistency": table_feature("NC"),
+    "f9_table_spans": table_spans,
     "f5_sentiment_polarity": lexical_feature("SP"),
     "f6_narrative_consistency": lexical_feature("NC"),
     "f7_selective_quoting": lexical_feature("SQ"),
@@ -268,7 +304,40 @@ long AS (
   UNION ALL SELECT id, 6, 'SQ', SQ, 'quote share + count', 'n_quotes=' || n_quotes FROM feat
   UNION ALL SELECT id, 7, 'FC', FC, 'keyword match', 'hits=' || fc_hits || ';keywords_checked={len(FACT_KEYWORDS)}' FROM feat)"""
 
+
+
+def _held(kind: str) -> str:
+    return f"(c <> '' AND substr(md5(c), 1, 1) IN {sql_in(tuple(DIGITS[kind]))})"
+
+
+_TABLE_WORDS = f"""WITH {DOCS}, s AS (SELECT doc_id, unnest(sents) AS s, generate_subscripts(sents, 1) AS no FROM parts),
+w AS (SELECT doc_id, no, unnest({sql_clean("string_split(s, ' ')")}) AS c FROM s),
+v AS (SELECT doc_id, no, {_held('positive')} AS pos, {_held('negative')} AS neg, {_held('unusual')} AS odd,
+  c LIKE '%ly' OR c LIKE '%ive' OR c LIKE '%ous' AS suffix FROM w),
+score AS (SELECT doc_id, no, 0.5 * ((sum(pos::INT) - sum(neg::INT))::DOUBLE / greatest(1, sum(pos::INT) + sum(neg::INT)) + 1.0) AS s
+  FROM v GROUP BY doc_id, no)"""
+
+
+def _table_share(name: str, test: str) -> str:
+    return f"""{_TABLE_WORDS} SELECT doc_id, round(coalesce(x, 0.0), 9) AS {name} FROM docs
+      LEFT JOIN (SELECT doc_id, sum(({test})::INT)::DOUBLE / count(*) AS x FROM v GROUP BY doc_id) USING (doc_id)"""
+
+
+def _table_scores(name: str, value: str, none: float) -> str:
+    return f"""{_TABLE_WORDS} SELECT doc_id, round(coalesce(x, {none}), 9) AS {name} FROM docs
+      LEFT JOIN (SELECT doc_id, {value} AS x FROM score GROUP BY doc_id) USING (doc_id)"""
+
+
+_TABLE_SPANS = _SPANS.replace(f"c IN {sql_in(LEX.positive)} OR c IN {sql_in(LEX.negative)}", f"{_held('positive')} OR {_held('negative')}").replace(
+    f"c IN {sql_in(LEX.unusual)}", _held("unusual")
+)
+
 ORACLE = {
+    "f2_table_subjectivity": _table_share("SR", "pos OR neg OR suffix"),
+    "f4_table_unusual_language": _table_share("UL", "odd"),
+    "f5_table_polarity": _table_scores("SP", "avg(s)", 0.0),
+    "f6_table_consistency": _table_scores("NC", "1.0 - var_pop(s)", 1.0),
+    "f9_table_spans": f"""WITH {_TABLE_SPANS} SELECT id, name, pos, s AS "start", e AS "end" FROM spans""",
     "e1_hash_vectors": f"""WITH one AS (SELECT doc_id, 'all' AS part, 0 AS no, text FROM documents), unit AS ({_unit_buckets('one')})
       SELECT doc_id, dim, round(CAST(v AS FLOAT)::DOUBLE, 6) AS value FROM unit""",
     "e2_model_vectors": f"""WITH raw AS (SELECT doc_id, len({sql_words(sql_squeeze('text'))})::DOUBLE AS w, length(text)::DOUBLE AS c FROM documents),

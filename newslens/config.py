@@ -88,6 +88,7 @@ class RunSettings:
     weights: tuple[float, float, float] = PART_WEIGHTS
     max_body_sentences: int = 80
     lexicons: Lexicons = field(default_factory=Lexicons)
+    lexicon_table: str | None = None  # path of a stored verdict table; then ``lexicons`` is not used
     fact_confirmation: bool = True
     encoder: str = "hash"  # name of the encoder: tables of another encoder are other tables
     max_token_spans: int | None = 30  # spans an evidence record keeps; None keeps all

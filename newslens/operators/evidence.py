@@ -41,7 +41,11 @@ def token_spans(cleaned: Column, spaced: Column, test, limit: int | None = MAX_T
     Offsets are exact for any spacing: a word ends where the text up to it ends.
     """
     numbered = F.transform(cleaned, lambda w, i: F.when(test(w), i))
-    hits = F.filter(numbered, lambda i: i.isNotNull())
+    return spans_at(F.filter(numbered, lambda i: i.isNotNull()), spaced, limit)
+
+
+def spans_at(hits: Column, spaced: Column, limit: int | None = MAX_TOKEN_SPANS) -> Column:
+    """Character offsets of the words at the first ``limit`` of the ascending places ``hits``."""
     hits = hits if limit is None else F.slice(hits, 1, limit)
     begin = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
@@ -96,13 +100,22 @@ def with_evidence(
     subjectivity_threshold: float = 0.5,
     max_token_spans: int | None = MAX_TOKEN_SPANS,
     max_keyword_spans: int | None = MAX_KEYWORD_SPANS,
+    table_size: int | None = None,
 ) -> DataFrame:
     """Add ``evidence``, one entry per feature, to a frame that holds the feature columns, ``_squeezed``,
     ``_sents`` and ``_words``.
 
-    ``subjectivity_threshold`` is only echoed into the record.
+    ``subjectivity_threshold`` is only echoed into the record. With ``table_size``, the number of unusual words of a
+    verdict table, the places come from ``_subjective`` and ``_unusual`` (see ``table_features``) instead of ``lex``.
     """
     lex = lex or Lexicons()
+    if table_size is None:
+        subjective = token_spans(F.col("_words"), F.col("_spaced"), lambda w: is_subjective(w, lex), max_token_spans)
+        unusual = token_spans(F.col("_words"), F.col("_spaced"), lambda w: in_lexicon(w, lex.unusual), max_token_spans)
+        table_size = len({w.strip().lower() for w in lex.unusual if w.strip()})
+    else:
+        subjective = spans_at(F.col("_subjective"), F.col("_spaced"), max_token_spans)
+        unusual = spans_at(F.col("_unusual"), F.col("_spaced"), max_token_spans)
     raw = F.coalesce(F.col(text), F.lit(""))
     n = F.size("_sents")
     empty = F.when(n == 0, "empty text")
@@ -110,14 +123,14 @@ def with_evidence(
         _entry("PR", notes=F.when(n < 2, "single sentence").otherwise(NOTES["PR"]), pairs=F.expr("size(_sents) * (size(_sents) - 1) div 2")),
         _entry(
             "SR",
-            token_spans(F.col("_words"), F.col("_spaced"), lambda w: is_subjective(w, lex), max_token_spans),
+            subjective,
             threshold=F.lit(str(subjectivity_threshold)),
         ),
         _entry("HS"),
         _entry(
             "UL",
-            token_spans(F.col("_words"), F.col("_spaced"), lambda w: in_lexicon(w, lex.unusual), max_token_spans),
-            lexicon_size=F.lit(len({w.strip().lower() for w in lex.unusual if w.strip()})),
+            unusual,
+            lexicon_size=F.lit(table_size),
         ),
         _entry("SP", notes=F.coalesce(empty, F.lit(NOTES["SP"])), n_sents=n),
         _entry("NC", notes=F.coalesce(empty, F.lit(NOTES["NC"]))),

@@ -19,13 +19,14 @@ from newslens.operators.evaluate import binary_metrics, classification_report, r
 from newslens.operators.evidence import with_evidence
 from newslens.operators.features import lexical_features
 from newslens.operators.fidelity import distance_correlation
+from newslens.operators.lexicon_tables import UNUSUAL, read_verdicts, table_features
 from newslens.operators.report import report_records
 from newslens.operators.splits import article_groups, select_split, stratified_splits
 from newslens.operators.transition import fit_centred_transition, fit_transition, transition_table, with_projection
 from newslens.runtime import exists, materialize, spread
 from newslens.sources.writers import write_splits, write_tables
 
-FEATURE_FIELDS = ("weights", "max_body_sentences", "lexicons", "fact_confirmation", "encoder", "max_token_spans", "max_keyword_spans")
+FEATURE_FIELDS = ("weights", "max_body_sentences", "lexicons", "lexicon_table", "fact_confirmation", "encoder", "max_token_spans", "max_keyword_spans")
 RUN_KEYS = ("seed", "kind", "run", "split")
 TRAIN = "split = 'train'"
 SPLIT_FIELDS = ("seeds", "n_splits", "ratio", "dedupe", "max_bits")
@@ -36,10 +37,17 @@ def article_features(
 ) -> DataFrame:
     """Articles with A and all feature columns and, if wanted, the evidence behind them.
 
-    One narrow pass over the text: no shuffle whatever the size.
+    One narrow pass over the text: no shuffle whatever the size. With ``settings.lexicon_table`` the words of the texts
+    are joined with that table first.
     """
     base = spread(articles, "id")
-    lexical = lexical_features(base, "text", settings.lexicons, settings.fact_confirmation, keep_parts=True)
+    table_size = None
+    if settings.lexicon_table:
+        verdicts = read_verdicts(articles.sparkSession, settings.lexicon_table)
+        table_size = verdicts.filter(F.col("bits").bitwiseAND(UNUSUAL) > 0).count() if evidence else None
+        lexical = table_features(base, verdicts, "id", "text", settings.fact_confirmation, keep_parts=True)
+    else:
+        lexical = lexical_features(base, "text", settings.lexicons, settings.fact_confirmation, keep_parts=True)
     out = with_document_vectors(
         lexical.withColumn("_lead", tx.lead(F.col("_sents"))),
         "title",
@@ -58,6 +66,7 @@ def article_features(
             settings.fact_confirmation,
             max_token_spans=settings.max_token_spans,
             max_keyword_spans=settings.max_keyword_spans,
+            table_size=table_size,
         )
     return out.select("id", "label", "source", "A", *names, *(["evidence"] if evidence else []))
 
