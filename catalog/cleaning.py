@@ -75,11 +75,11 @@ def sample_source(spark, sf):
 
 def format_dispatch(spark, sf):
     out = []
-    for fmt in ("csv", "tsv"):
+    for fmt in ("csv", "tsv", "json"):
         path = _files(spark, documents(spark, sf).select("doc_id", "text"), fmt)
-        df = readers.read_dataset(spark, DatasetSpec("d", (f"*.{fmt}",), fmt), path)
+        df = readers.read_dataset(spark, DatasetSpec("d", (f"*.{fmt}",), fmt), path, multiline=fmt != "json")
         out.append(df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).withColumn("format", F.lit(fmt)))
-    return out[0].unionByName(out[1])
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def _spec(name="docs", **kw):
@@ -307,7 +307,8 @@ ORACLE = {
     "s5_sample_source": f"""WITH {_ART} SELECT id, CASE label WHEN 'real' THEN 1 ELSE 0 END AS label,
       md5(title) AS title_md5, md5(text) AS text_md5 FROM named""",
     "s6_format_dispatch": """SELECT count(*) AS n, sum(length(text))::BIGINT AS chars, 'csv' AS format FROM documents
-      UNION ALL SELECT count(*), sum(length(text))::BIGINT, 'tsv' FROM documents""",
+      UNION ALL SELECT count(*), sum(length(text))::BIGINT, 'tsv' FROM documents
+      UNION ALL SELECT count(*), sum(length(text))::BIGINT, 'json' FROM documents""",
     "s7_processed_sink": f"""WITH {_ART} SELECT 'docs' AS source, label, md5(title) AS title_md5, md5(text) AS text_md5
       FROM named WHERE length(text) >= 50""",
     "s8_integrate": f"""WITH {_ART} SELECT label, md5(title) AS title_md5, md5(text) AS text_md5 FROM named

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +12,6 @@ from newslens.runtime import spread
 # Words that occur in the supplied corpus; the default lexicons do not.
 LEX = Lexicons(("the", "of", "la", "der"), ("and", "with", "et", "und"), ("to", "in", "que", "zu"))
 SETTINGS = RunSettings(lexicons=LEX)
-# for queries whose SQL states two splits
-TWO_SPLITS = replace(SETTINGS, seeds=(13, 17), n_splits=2)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from catalog.common import DOCS, LEX, SETTINGS, TWO_SPLITS, articles, documents, table
+from catalog.common import DOCS, LEX, SETTINGS, articles, documents, table
 from catalog.features import lexical_ctes
 from newslens.functions.scalars import dot
 from newslens.operators import calibration as cal
@@ -50,10 +50,11 @@ def _vectors(spark, sf):
 
 
 def transition(spark, sf):
-    """The weights of the linear target are 0, 1, 2, ... by construction."""
-    df = _vectors(spark, sf)
-    weights = transition_table(spark, fit_transition(df, "A", ("linear", "label")), ("linear", "label"))
-    return weights.filter("feature = 'linear'").select("dim", "feature", (F.round("weight", 4) + F.lit(0.0)).alias("weight"))
+    """Two linear targets: weights 0, 1, 2, ... and 1, -1, 1, ... by construction."""
+    signs = F.array(*[F.lit(float(1 - 2 * (i % 2))) for i in range(64)])
+    df = _vectors(spark, sf).withColumn("alternating", dot(F.col("A"), signs))
+    targets = ("linear", "alternating")
+    return transition_table(spark, fit_transition(df, "A", targets), targets).select("dim", "feature", (F.round("weight", 4) + F.lit(0.0)).alias("weight"))
 
 
 def linear_recovery(spark, sf):
@@ -214,8 +215,8 @@ def summary(spark, sf):
 def stage_reuse(spark, sf):
     """Two sweeps over one folder: the second finds both stage tables."""
     folder = scratch_path(spark, "run")
-    first = tr.stage_tables(articles(spark, sf), TWO_SPLITS, folder)
-    again = tr.stage_tables(articles(spark, sf), replace(TWO_SPLITS, classifier="logreg", drop_features=("PR",)), folder)
+    first = tr.stage_tables(articles(spark, sf), SETTINGS, folder)
+    again = tr.stage_tables(articles(spark, sf), replace(SETTINGS, classifier="logreg", drop_features=("PR",)), folder)
     rows = [
         t.agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(n)).withColumn("reused", F.lit(t.inputFiles() == u.inputFiles()))
         for n, t, u in zip(("features", "splits"), first, again)
@@ -293,7 +294,9 @@ ORACLE = {
         FROM lex WHERE doc_id % 2 = 0)
       SELECT doc_id, {', '.join(f'round(({c} - lo_{c}) / CASE WHEN w_{c} < 1e-9 THEN 1.0 ELSE w_{c} END, 9) AS {c}' for c in LEXICAL)} FROM lex, m""",
     "m2_transition": """SELECT (unnest(range(len(any_value(embedding)))))::INT AS dim, 'linear' AS feature,
-      unnest(range(len(any_value(embedding))))::DOUBLE AS weight FROM embeddings""",
+      unnest(range(len(any_value(embedding))))::DOUBLE AS weight FROM embeddings
+      UNION ALL SELECT (unnest(range(len(any_value(embedding)))))::INT, 'alternating',
+      1.0 - 2.0 * (unnest(range(len(any_value(embedding)))) % 2) FROM embeddings""",
     "m3_projection": "SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: i * embedding[i + 1]::DOUBLE)), 5) AS linear FROM embeddings",
     "x8_centred_projection": """WITH v AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: i * embedding[i + 1]::DOUBLE)) AS x FROM embeddings)
       SELECT vec_id, round(x - avg(x) OVER (), 4) + 0.0 AS linear FROM v""",
@@ -325,6 +328,6 @@ ORACLE = {
     "s10_run_tables": """WITH n AS (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id))
       SELECT unnest(['A', 'B', 'B_raw', 'B_hat', 'evidence', 'predictions', 'splits']) AS name, n AS rows FROM n
       UNION ALL SELECT * FROM (VALUES ('T', 4096), ('minmax', 8), ('reports', 10), ('fidelity', 1), ('metrics', 2)) t(name, rows)""",
-    "r8_stage_reuse": """SELECT unnest(['features', 'splits']) AS stage, unnest([count(*), 2 * count(*)]) AS rows, true AS reused
+    "r8_stage_reuse": """SELECT unnest(['features', 'splits']) AS stage, unnest([count(*), 7 * count(*)]) AS rows, true AS reused
       FROM documents JOIN labels USING (doc_id)""",
 }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from catalog import common, modelling
+from catalog import common, modelling, neardup
 from newslens.config import RunSettings
 from newslens.operators.classify import KINDS
 from newslens.plans import sweeps
@@ -10,7 +10,8 @@ from newslens.plans import sweeps
 
 def test_default_seeds_and_splits():
     assert (common.SETTINGS.seeds, common.SETTINGS.n_splits) == (RunSettings().seeds, 7)
-    assert common.TWO_SPLITS.lexicons == common.SETTINGS.lexicons == common.LEX
+    assert common.SETTINGS.lexicons == common.LEX
+    assert neardup.SEEDS == RunSettings().seeds
 
 
 @pytest.mark.parametrize("query", ["r4_feature_drops", "r3_ablations"])
