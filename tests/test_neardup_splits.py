@@ -189,3 +189,18 @@ def test_profile_lists_empty_splits(spark):
     t = rows["train"]
     assert (t.n_articles, t.pct_fake, t.median_tokens, t.median_sentences) == (2, 50.0, 2, 1)
     assert (rows["val"].n_articles, rows["val"].pct_fake, rows["test"].median_tokens) == (0, 0.0, 0)
+
+
+def test_banded_pairs_by_blocks_of_signatures(spark, monkeypatch):
+    """All signatures share a band, so a bucket holds them all; blocks still bound what a task compares."""
+    monkeypatch.setattr(nd, "SIG_BLOCK", 17)
+    monkeypatch.setattr(nd, "STRIP", 40)
+    rng = random.Random(9)
+    sigs = sorted({(0x5A << 56 | sum(1 << b for b in rng.sample(range(56), rng.randint(0, 6)))) for _ in range(150)} | {-1, 0, (1 << 8) - 1, -(1 << 63)})
+    shared = lambda a, b: any((a ^ b) >> (8 * i) & 0xFF == 0 for i in range(8))
+    for bits in (8, 11):
+        df = nd.near_pairs(spark.createDataFrame([(s,) for s in sigs] + [(None,)], "sig bigint"), bits)
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b, distance(a, b)) for a, b in brute_pairs(sigs, bits) if shared(a, b)}
+    assert nd.near_pairs(spark.createDataFrame([], "sig bigint"), 8).count() == 0
