@@ -60,3 +60,26 @@ def test_same_space_few_rows_and_nothing(spark):
     assert (alone.pairs, alone.queries) == (0, 0)
     equal = st.structure_kept(spark.createDataFrame([(i, True, [1.0], [2.0]) for i in range(3)], SCHEMA)).first()
     assert equal.spearman is None and equal.preservation == 1.0
+
+
+@pytest.mark.parametrize("copies", [0, 60])
+def test_many_distances_are_ranked_by_bins_and_not_stored(spark, monkeypatch, copies):
+    """Continuous vectors take the bins, with copies as bin 0; distances that crowd into few bins are ranked one by one."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(400, 5))
+    a[:copies] = a[0]
+    b = a[:, :3] + 0.4 * rng.normal(size=(400, 3)) * (np.arange(400) >= copies)[:, None]
+    data = [(i, i % 9 == 0, a[i].tolist(), b[i].tolist()) for i in range(400)]
+    n, rho, nears = plain(data, 10)
+    for name, value in (("EXACT_PAIRS", 0), ("MANY_QUERIES", 11), ("MANY_ROWS", 70), ("STEP_ROWS", 33), ("TALLY", 500), ("MAX_SHARE", 0.01)):
+        monkeypatch.setattr(st, name, value)
+    real, calls = st.query_distances, []
+    monkeypatch.setattr(st, "query_distances", lambda *args: calls.append(1) or real(*args))
+    got = st.structure_kept(spark.createDataFrame(data, SCHEMA).repartition(3)).first()
+    assert (got.pairs, got.queries, len(calls)) == (n, len(nears), 0)
+    assert got.spearman == pytest.approx(rho, abs=1e-6)
+    assert got.preservation == pytest.approx(np.mean([o / m for m, o in nears.values()]))
+    grid = rows(150, 3)
+    n, rho, nears = plain(grid, 10)
+    got = st.structure_kept(spark.createDataFrame(grid, SCHEMA)).first()
+    assert (got.pairs, len(calls)) == (n, 1) and got.spearman == pytest.approx(rho, abs=1e-12)
