@@ -231,3 +231,20 @@ def test_sweep_rows(spark, tmp_path):
     assert {(r.kind, r.split): r.runs for r in sweeps.summarize(table).collect()} == {
         (k, s): 2 for k in ("linear_svm", "logreg") for s in ("val", "test")
     }
+
+
+def test_fidelity_in_full_blocks_far_from_the_origin(spark, monkeypatch):
+    """Few full blocks, distances in strips, copies, and an offset that plain sums of squares would not survive."""
+    monkeypatch.setattr(fidelity, "BLOCK", 10)
+    monkeypatch.setattr(fidelity, "FULL_BLOCKS", 3)
+    monkeypatch.setattr(fidelity, "STEP", 4)
+    monkeypatch.setattr(fidelity, "WIDTH", 7)
+    rng = np.random.default_rng(8)
+    b = rng.normal(size=(100, 2)) + 1e7
+    b[:30] = b[0]
+    h = b + 0.3 * rng.normal(size=b.shape)
+    rows = [(i, *map(float, x), *map(float, y)) for i, (x, y) in enumerate(zip(b, h))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, ah double, bh double")
+    pairs = [(np.linalg.norm(b[i] - b[j]), np.linalg.norm(h[i] - h[j])) for i in range(100) for j in range(i)]
+    got = fidelity.distance_correlation(df, ["a", "b"], ["ah", "bh"]).first()
+    assert got.pairs == len(pairs) and got.pearson == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1], abs=1e-9)
