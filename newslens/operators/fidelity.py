@@ -63,7 +63,7 @@ def distance_correlation(df: DataFrame, features: Sequence[str], projected: Sequ
 
     All pairs enter. Rows are hashed into blocks; one task takes one pair of blocks and returns six sums, so no pair
     ever leaves a task and memory is bounded by two blocks. Distances come from matrix products. The work itself grows
-    with the square of the rows, as the measure is defined.
+    with the square of the rows, as the measure is defined. The correlation is null where a feature is null or not finite.
     """
     n = df.count()
     blocks = max(1, -(-n // min(max(n // FULL_BLOCKS, BLOCK), max(BLOCK, LARGEST_BLOCK))))
@@ -83,4 +83,5 @@ def distance_correlation(df: DataFrame, features: Sequence[str], projected: Sequ
     total = sums.agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
     cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
     var = F.sqrt(F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * F.sqrt(F.col("n") * F.col("yy") - F.col("y") * F.col("y"))
-    return total.select(F.col("n").cast("bigint").alias("pairs"), (cov / F.nullif(var, F.lit(0.0))).alias("pearson"))
+    pearson = cov / F.nullif(var, F.lit(0.0))
+    return total.select(F.col("n").cast("bigint").alias("pairs"), F.when(~F.isnan(pearson), pearson).alias("pearson"))

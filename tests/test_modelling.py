@@ -248,3 +248,6 @@ def test_fidelity_in_full_blocks_far_from_the_origin(spark, monkeypatch):
     pairs = [(np.linalg.norm(b[i] - b[j]), np.linalg.norm(h[i] - h[j])) for i in range(100) for j in range(i)]
     got = fidelity.distance_correlation(df, ["a", "b"], ["ah", "bh"]).first()
     assert got.pairs == len(pairs) and got.pearson == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1], abs=1e-9)
+    gap = df.withColumn("ah", F.when(F.col("id") != 3, F.col("ah")))
+    got = fidelity.distance_correlation(gap, ["a", "b"], ["ah", "bh"]).first()
+    assert (got.pairs, got.pearson) == (len(pairs), None)
