@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from newslens.config import Lexicons, RunSettings
-from newslens.operators import ordering
+from newslens.operators import features, ordering
 from newslens.operators.features import MAX_LITERAL_WORDS, lexical_features
-from newslens.operators.lexicon_tables import read_verdicts, store_verdicts, table_features, verdict_table
+from newslens.operators.lexicon_tables import read_verdicts, store_verdicts, table_features, verdict_table, word_hits
 from newslens.plans.training import article_evidence, article_features, stage_tables
 
 LEX = Lexicons(("good", "fairly"), ("bad", "good"), ("hoax", "bad"))
@@ -85,3 +85,22 @@ def test_stored_table_is_addressed_by_content(spark, tmp_path):
     one = stage_tables(df, RunSettings(**{**base.__dict__, "lexicon_table": first}), folder)[0]
     two = stage_tables(df, RunSettings(**{**base.__dict__, "lexicon_table": other}), folder)[0]
     assert one.filter("id = 1").first().UL > 0 and two.filter("id = 1").first().UL == 0
+
+
+@pytest.mark.parametrize("size", [20, 8_000_000])
+def test_words_meet_the_lexicon_once_per_chunk(spark, monkeypatch, size):
+    """A word that fills a chunk is joined once for it, and chunks of any size give the same hits."""
+    monkeypatch.setattr(features, "CHUNK_CHARS", size)
+    data = [(i, "good bad " * 40 + f"w{i}. Then good") for i in range(30)]
+    df = spark.createDataFrame(data, "id int, text string")
+    chunks = features.text_chunks(df, "id", F.col("text"))
+    met = features.chunk_verdicts(chunks, verdicts(spark)).collect()
+    assert len(met) == len(set(met)) == 2 * chunks.select("_chunk").distinct().count()
+    hits = {r._key: (r._hits, r._scores) for r in word_hits(df, verdicts(spark)).collect()}
+    assert set(hits) == set(range(30))
+    for found, scores in hits.values():
+        assert [h.at for h in found] == [*range(80), 82]
+        # "good" is positive and negative: (40 - 80) / 120 in the first sentence, 0 in the second
+        assert scores == pytest.approx([0.5 * (1 - 1 / 3), 0.5])
+    shares = {r.id: (r.hits, r.tokens) for r in features.lexicon_hits(df, words(spark, ["good", "bad"]), "id").collect()}
+    assert shares == {i: (81, 83) for i in range(30)}
