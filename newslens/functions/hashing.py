@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType
 from newslens.functions.scalars import once
 
 # Bound on the per-task token cache; it is emptied when full.
-MAX_CACHED_TOKENS = 500_000
+MAX_CACHED_TOKENS = 100_000
 
 
 def md5_low64(text: Column) -> Column:

@@ -14,8 +14,8 @@ from newslens.config import PART_WEIGHTS
 from newslens.functions.encoders import Encoder, hash_encoder
 from newslens.functions.scalars import once
 
-# Texts encoded at a time: bounds the memory of a task at 4096 x dim doubles.
-CHUNK = 4096
+# Texts encoded at a time, and documents put together: bound the memory of a task at a few matrices of CHUNK x dim doubles.
+CHUNK, DOCUMENTS = 1024, 256
 TINY = 1e-12
 
 VECTOR = ArrayType(FloatType())
@@ -36,8 +36,8 @@ def text_vectors(encoder: Callable[[], Encoder] = hash_encoder):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder()
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            yield _float_lists(np.vstack([enc(texts[i : i + CHUNK]) for i in range(0, len(texts), CHUNK)]))
+            parts = ([t or "" for t in batch[i : i + CHUNK].to_pylist()] for i in range(0, len(batch), CHUNK))
+            yield pa.concat_arrays([_float_lists(enc(texts)) for texts in parts])
 
     return once(F.arrow_udf(encode, VECTOR))
 
@@ -96,15 +96,15 @@ def document_vectors(
         enc = encoder()
         for title, lead, sents in batches:
             done = []
-            for i in range(0, len(title), 512):
-                t, l = (enc([x or "" for x in part[i : i + 512].to_pylist()]) for part in (title, lead))
-                mean, similarity = _sentence_sums(enc, sents[i : i + 512], max_body_sentences)
+            for i in range(0, len(title), DOCUMENTS):
+                t, l = (enc([x or "" for x in part[i : i + DOCUMENTS].to_pylist()]) for part in (title, lead))
+                mean, similarity = _sentence_sums(enc, sents[i : i + DOCUMENTS], max_body_sentences)
                 coherence = np.clip(
                     (t * l).sum(axis=1) / (np.linalg.norm(t, axis=1) * np.linalg.norm(l, axis=1) + TINY), 0.0, 1.0
                 )
-                done.append((_unit(w_title * t + w_lead * l + w_body * mean), similarity, coherence))
-            a, pr, hs = (np.concatenate(parts) for parts in zip(*done))
-            yield pa.StructArray.from_arrays([_float_lists(a), pa.array(pr), pa.array(hs)], names=["A", "PR", "HS"])
+                a = _float_lists(_unit(w_title * t + w_lead * l + w_body * mean))
+                done.append(pa.StructArray.from_arrays([a, pa.array(similarity), pa.array(coherence)], names=["A", "PR", "HS"]))
+            yield pa.concat_arrays(done)
 
     return once(F.arrow_udf(encode, DOCUMENT))
 

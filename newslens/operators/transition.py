@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 # How much each folding step narrows, and the most factors that reach the driver.
 FAN_IN, DRIVER_FACTORS = 64, 16
+SLICE = 1024  # rows of a batch turned into doubles at a time
 ROUNDING = 1e-13  # what centring leaves of a constant column, relative to the column
 FACTOR = "rows int, r array<double>"
 
@@ -33,8 +34,8 @@ def _emit(r: np.ndarray | None) -> Iterator[pa.RecordBatch]:
 def _factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     r = None
     for batch in batches:
-        if batch.num_rows:
-            m = np.hstack([_matrix(c) for c in batch.columns])
+        for i in range(0, batch.num_rows, SLICE):
+            m = np.hstack([_matrix(c) for c in batch.slice(i, SLICE).columns])
             r = np.linalg.qr(m if r is None else np.vstack([r, m]), mode="r")
     yield from _emit(r)
 
@@ -112,7 +113,8 @@ def project(vector: Column, t: np.ndarray, mean: np.ndarray | None = None) -> Co
 
     def times(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = (_matrix(batch) - shift) @ t if len(batch) else np.zeros((0, t.shape[1]))
+            parts = [(_matrix(batch[i : i + SLICE]) - shift) @ t for i in range(0, len(batch), SLICE)]
+            out = np.vstack(parts) if parts else np.zeros((0, t.shape[1]))
             offsets = pa.array(np.arange(0, out.size + 1, t.shape[1], dtype=np.int32))
             yield pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
