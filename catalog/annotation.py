@@ -31,7 +31,9 @@ def x1_class_clusters(spark: SparkSession, sf: str) -> DataFrame:
     flat = spark.createDataFrame([(s, k, c.tolist()) for s, cs in centres.items() for k, c in enumerate(cs)], "side int, cluster int, centre array<double>")
     gap = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, u: t + u)
     off = shapes.join(flat.withColumnRenamed("centre", "found"), ["side", "cluster"]).groupBy("side").agg(F.sum((gap("centre", "found") > 1e-18).cast("bigint")).alias("n_off"))
-    each = rows.join(F.broadcast(flat.withColumnRenamed("cluster", "other")), "side").groupBy("side", "id", "cluster").agg(F.min_by("other", F.struct(gap("vector", "centre").alias("d"), F.col("other"))).alias("best"))
+    per_side = flat.groupBy("side").agg(F.collect_list(F.struct("cluster", "centre")).alias("centres"))
+    nearest = F.array_min(F.transform("centres", lambda c: F.struct(gap(F.col("vector"), c["centre"]).alias("d"), c["cluster"].alias("other"))))
+    each = rows.join(F.broadcast(per_side), "side").select("side", "id", "cluster", nearest.alias("best")).groupBy("side", "id", "cluster").agg(F.min("best")["other"].alias("best"))
     placed = each.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("best") != F.col("cluster")).cast("bigint")).alias("n_misplaced"), (F.countDistinct("cluster") > 1).alias("several"))
     return placed.join(off, "side")
 

@@ -21,6 +21,8 @@ SETTLED = 1e-12  # centres that move less are the means of their rows up to roun
 KEPT_SHARE = 0.15
 NEIGHBOURS = 10
 BLOCK = 512
+LEAST_TASKS = 64
+STEP, ROUNDING = 2048, 1e-11  # rows measured at a time; bound on the rounding of a product, as a share of the squared lengths
 
 
 def usable(points: DataFrame) -> DataFrame:
@@ -34,10 +36,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Nearest centre of each row, by sums of squared differences; ties to the first."""
+    """Nearest centre of each row, by sums of squared differences; ties to the first.
+
+    Matrix products leave out what is common to all centres of a row; rows with two centres nearest up to their rounding, or with
+    numbers too large for them, are measured by differences.
+    """
     out = np.empty(len(x), np.int64)
-    for i in range(0, len(x), 256):
-        out[i : i + 256] = ((x[i : i + 256, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    length = np.einsum("ij,ij->i", centres, centres)
+    for i in range(0, len(x), STEP):
+        part = x[i : i + STEP]
+        with np.errstate(all="ignore"):
+            far = length - 2.0 * (part @ centres.T)
+            low = far.min(axis=1) + ROUNDING * (np.einsum("ij,ij->i", part, part) + length.max())
+            unsure = np.flatnonzero((~(far > low[:, None])).sum(axis=1) != 1)
+        near = far.argmin(axis=1)
+        for j in range(0, len(unsure), 256):
+            rows = unsure[j : j + 256]
+            near[rows] = ((part[rows, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        out[i : i + STEP] = near
     return out
 
 
@@ -73,42 +89,64 @@ def assigned(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     return points.mapInArrow(run, f"id {kind}, side int, vector array<double>, cluster int")
 
 
-def _sums(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """``(side, cluster, dim, total, n)`` of the rows nearest to each centre, summed in each task before the shuffle."""
+def _packed(points: DataFrame) -> DataFrame:
+    """``(side, n, block)``: the vectors of a batch and side as the bytes of one matrix, which many passes read without taking lists apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {s: np.zeros(c.shape) for s, c in centres.items()}
-        counts = {s: np.zeros(len(c), np.int64) for s, c in centres.items()}
         for batch in batches:
             if batch.num_rows:
                 side, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                for s, c in centres.items():
-                    mine = x[side == s]
-                    at = _nearest(mine, c)
-                    np.add.at(totals[s], at, mine)
-                    counts[s] += np.bincount(at, minlength=len(c))
+                held = np.unique(side)
+                columns = [held.astype(np.int32), [int((side == s).sum()) for s in held], [x[side == s].tobytes() for s in held]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["side", "n", "block"])
+
+    return points.select("side", "vector").mapInArrow(run, "side int, n int, block binary")
+
+
+def _sums(packed: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``(side, totals, counts)`` of each task: sums and numbers of the rows nearest to each centre, as bytes.
+
+    The number of tasks follows the cores, not the rows, and so does what a pass sends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {s: np.zeros(c.shape) for s, c in centres.items()}
+        counts = {s: np.zeros(len(c), np.int64) for s, c in centres.items()}
+        for batch in batches:
+            for s, n, block in zip(*batch.columns):
+                s = s.as_py()
+                if s not in centres:
+                    continue
+                mine = np.frombuffer(block.as_buffer()).reshape(n.as_py(), -1)
+                at = _nearest(mine, centres[s])
+                held = np.bincount(at, minlength=len(centres[s]))
+                first = (np.cumsum(held) - held)[held > 0]
+                totals[s][held > 0] += np.add.reduceat(mine[np.argsort(at, kind="stable")], first)
+                counts[s] += held
         for s, total in totals.items():
-            cluster, dim = np.indices(total.shape)
-            held = np.repeat(counts[s] > 0, total.shape[1])
-            columns = [np.full(total.size, s, np.int32), cluster.ravel().astype(np.int32), dim.ravel().astype(np.int32), total.ravel(), np.repeat(counts[s], total.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in columns], names=["side", "cluster", "dim", "total", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([total.tobytes()]), pa.array([counts[s].tobytes()])], names=["side", "totals", "counts"])
 
-    parts = points.select("side", "vector").mapInArrow(run, "side int, cluster int, dim int, total double, n bigint")
-    return parts.groupBy("side", "cluster", "dim").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    tasks = max(LEAST_TASKS, 4 * packed.sparkSession.sparkContext.defaultParallelism)
+    return packed.coalesce(tasks).mapInArrow(run, "side int, totals binary, counts binary")
 
 
 def class_clusters(points: DataFrame, k: int = CLUSTERS, sample: int = SEED_SAMPLE) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """``(id, side, vector, cluster)``, stored, and the centres: Lloyd's iterations per side until no centre moves.
 
-    A pass returns ``2 * k`` sums to the driver, whatever the number of rows. A centre without rows stays where it is.
+    A pass returns ``2 * k`` sums a task to the driver, and the tasks follow the cores, not the rows. A centre without rows stays where it is.
     """
     points = materialize(usable(points), "points")
     centres = first_centres(points, k, sample)
     moved = bool(centres)
+    packed = materialize(_packed(points), "packed-points") if moved else None
     while moved:
         new = {s: c.copy() for s, c in centres.items()}
-        for r in _sums(points, centres).collect():
-            new[r.side][r.cluster, r.dim] = r.total / r.n
+        totals, counts = {s: np.zeros(c.shape) for s, c in centres.items()}, {s: np.zeros(len(c), np.int64) for s, c in centres.items()}
+        for r in _sums(packed, centres).collect():
+            totals[r.side] += np.frombuffer(r.totals).reshape(totals[r.side].shape)
+            counts[r.side] += np.frombuffer(r.counts, np.int64)
+        for s, n in counts.items():
+            new[s][n > 0] = totals[s][n > 0] / n[n > 0, None]
         moved = any(np.abs(new[s] - c).max() > SETTLED for s, c in centres.items())
         centres = new
     return materialize(assigned(points, centres), "clusters"), centres

@@ -124,3 +124,19 @@ def test_plateau(spark, kappas, stop):
 def test_rounds_are_halves(spark):
     items = ag.annotation_rounds(spark.range(4000).withColumnRenamed("id", "item"), "item", 4).groupBy("round", "held_out").count().collect()
     assert len(items) == 8 and all(400 < r["count"] < 600 for r in items)
+
+
+def test_nearest_centre_by_products_equals_differences():
+    rng = np.random.default_rng(3)
+    centres = np.concatenate([rng.normal(size=(9, 5)), np.zeros((1, 5)), np.full((1, 5), 1e180)])
+    centres[4] = centres[2]
+    x = np.concatenate([rng.normal(size=(5000, 5)), centres, (centres[:1] + centres[1:2]) / 2, np.full((2, 5), 1e170), rng.normal(size=(50, 5)) + 1e9])
+    want = np.concatenate([((x[i : i + 99, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(x), 99)])
+    assert (bd._nearest(x, centres) == want).all()
+
+
+def test_centres_are_found_from_packed_blocks(spark):
+    _, df = points(spark, np.random.default_rng(4))
+    packed = bd._packed(bd.usable(df).repartition(3))
+    assert {r.side: r.n for r in packed.groupBy("side").agg(F.sum("n").alias("n")).collect()} == {0: 150, 1: 150}
+    assert all(len(r.block) == r.n * 4 * 8 for r in packed.collect())
