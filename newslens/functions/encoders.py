@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -13,27 +14,40 @@ Encoder = Callable[[list[str]], np.ndarray]
 HASH_DIM = 512
 
 
-def hash_encoder() -> Encoder:
+class HashEncoder:
     """Token counts by md5 bucket, L2-normalised; an empty text is the zero vector.
 
     The bucket is the low nine bits of md5, so vectors agree across workers,
     runs and engines.
     """
-    digests = TokenDigests()
 
-    def encode(texts: list[str]) -> np.ndarray:
+    dim = HASH_DIM
+
+    def __init__(self) -> None:
+        self._digests = TokenDigests()
+
+    def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, bucket and value of every component that is not zero, in this order."""
         tokens = [t.lower().split() for t in texts]
-        sizes = np.fromiter((len(t) for t in tokens), np.int64, len(tokens))
-        out = np.zeros(len(texts) * HASH_DIM)
-        if sizes.sum():
-            low = digests([t for row in tokens for t in row])
-            bucket = (low[:, 6].astype(np.int64) & 1) * 256 + low[:, 7]
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            out = np.bincount(owner * HASH_DIM + bucket, minlength=len(out)).astype(np.float64)
-        out = out.reshape(len(texts), HASH_DIM)
-        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)
-
-    return encode
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        low = self._digests(list(chain.from_iterable(tokens)))
+        bucket = (low[:, 6].astype(np.int64) & 1) * 256 + low[:, 7]
+        places = np.sort(np.repeat(np.arange(len(texts)) * self.dim, sizes) + bucket)
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        counts = np.diff(first, append=len(places)).astype(np.float64)
+        text, bucket = np.divmod(places[first], self.dim)
+        norm = np.sqrt(np.bincount(text, counts * counts, len(texts)))
+        return text, bucket, counts / (norm[text] + 1e-12)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        text, bucket, value = self.entries(texts)
+        out = np.zeros((len(texts), self.dim))
+        out[text, bucket] = value
+        return out
+
+
+def hash_encoder() -> Encoder:
+    return HashEncoder()
 
 
 def pick_encoder(backend: str = "hash", model: Callable[[], Encoder] | None = None) -> Callable[[], Encoder]:

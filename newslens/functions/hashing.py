@@ -32,23 +32,22 @@ def order_bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
 
 
+class _Digests(dict):
+    def __missing__(self, token: str) -> bytes:
+        found = self[token] = hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()[8:]
+        return found
+
+
 class TokenDigests:
     """md5 low halves of tokens, remembered within one task."""
 
     def __init__(self) -> None:
-        self._seen: dict[str, bytes] = {}
+        self._seen = _Digests()
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        seen = self._seen
-        if len(seen) > MAX_CACHED_TOKENS:
-            seen.clear()
-        found = []
-        for t in tokens:
-            d = seen.get(t)
-            if d is None:
-                d = seen[t] = hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[8:]
-            found.append(d)
-        return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8)
+        if len(self._seen) > MAX_CACHED_TOKENS:
+            self._seen.clear()
+        return np.frombuffer(b"".join(map(self._seen.__getitem__, tokens)), np.uint8).reshape(-1, 8)
 
 
 @once

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 # punctuation stripped from both ends of a token.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 PUNCTUATION = ".,!?;:'\"()[]{}"
-EDGE_PUNCTUATION = r"""(?<![^ \n])[.,!?;:'"()\[\]{}]+|[.,!?;:'"()\[\]{}]+(?![^ \n])"""
+# Both patterns begin with what is rare in a text, so that most places are passed after one look: runs of white space other than
+# one blank, and a punctuation mark that begins a word or, with those after it, ends one.
+LOOSE_SPACE = rf"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{SPACE}*| {SPACE}+"
+EDGE_PUNCTUATION = r"""[.,!?;:'"()\[\]{}](?:(?<![^ \n][.,!?;:'"()\[\]{}])[.,!?;:'"()\[\]{}]*|[.,!?;:'"()\[\]{}]*(?![^ \n]))"""
 SENTENCE_BREAK = r"(?<=[.!?]) (?=[A-Z0-9])"
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; both ends are trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, LOOSE_SPACE, " "))
 
 
 def mark_sentences(squeezed: Column) -> Column:

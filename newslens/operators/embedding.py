@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,34 +46,51 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + TINY)
 
 
+def _sums_by_owner(vec: np.ndarray, owner: np.ndarray, in_body: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: sum of the vectors in the body, sum of all unit vectors, number of vectors that are not zero."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    body, units, nonzero = np.zeros((n, vec.shape[1])), np.zeros((n, vec.shape[1])), np.zeros(n)
+    body[owner[first]] = np.add.reduceat(vec * in_body[:, None], first)
+    units[owner[first]] = np.add.reduceat(_unit(vec), first)
+    nonzero[owner[first]] = np.add.reduceat(np.any(vec != 0, axis=1).astype(float), first)
+    return body, units, nonzero
+
+
+def _sums_by_entry(entries, dim: int, owner: np.ndarray, in_body: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`_sums_by_owner`, from the components that are not zero: short sentences have few."""
+    text, bucket, value = entries
+    place = owner[text] * dim + bucket
+    body = np.bincount(place, value * in_body[text], n * dim).reshape(n, dim)
+    squares = np.bincount(text, value * value, len(owner))
+    units = np.bincount(place, value / (np.sqrt(squares[text]) + TINY), n * dim).reshape(n, dim)
+    return body, units, np.bincount(owner[squares > 0], minlength=n).astype(float)
+
+
 def _sentence_sums(enc: Encoder, sents: pa.ListArray, limit: int):
     """Per document: mean vector of the first ``limit`` sentences, and mean pairwise cosine of all.
 
     With unit vectors u the pair sum is (|sum u|^2 - number of non-zero u) / 2,
-    so the cost is linear in the number of sentences.
+    so the cost is linear in the number of sentences. An encoder with ``entries`` gives only components that are not zero.
     """
     offsets = sents.offsets.to_numpy() - sents.offsets[0].as_py()
     flat = sents.flatten()
     counts = np.diff(offsets)
-    body = units = nonzero = None
-    for start in range(0, max(len(flat), 1), CHUNK):
-        chunk = [s or "" for s in flat[start : start + CHUNK].to_pylist()] or [""]
-        vec = enc(chunk)
-        if body is None:
-            body = np.zeros((len(counts), vec.shape[1]))
-            units, nonzero = np.zeros_like(body), np.zeros(len(counts))
-        if not len(flat):
-            break
+    sparse = hasattr(enc, "entries")
+    nothing = enc([""])[0]
+    body, units, nonzero = np.zeros((len(counts), len(nothing))), np.zeros((len(counts), len(nothing))), np.zeros(len(counts))
+    for start in range(0, len(flat), CHUNK):
+        chunk = [s or "" for s in flat[start : start + CHUNK].to_pylist()]
         at = np.arange(start, start + len(chunk))
         owner = np.searchsorted(offsets, at, side="right") - 1
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         in_body = (at - offsets[owner]) < limit
-        body[owner[first]] += np.add.reduceat(vec * in_body[:, None], first)
-        u = _unit(vec)
-        units[owner[first]] += np.add.reduceat(u, first)
-        nonzero[owner[first]] += np.add.reduceat(np.any(vec != 0, axis=1).astype(float), first)
-    if (counts == 0).any():
-        body[counts == 0] = enc([""])[0]
+        low, n = owner[0], owner[-1] - owner[0] + 1
+        if sparse:
+            sums = _sums_by_entry(enc.entries(chunk), enc.dim, owner - low, in_body, n)
+        else:
+            sums = _sums_by_owner(enc(chunk), owner - low, in_body, n)
+        for total, part in zip((body, units, nonzero), sums):
+            total[low : low + n] += part
+    body[counts == 0] = nothing
     mean = body / np.maximum(1, np.minimum(counts, limit))[:, None]
     pairs = counts * (counts - 1.0)
     total = (units**2).sum(axis=1) - nonzero
@@ -85,12 +102,13 @@ def document_vectors(
     encoder: Callable[[], Encoder] = hash_encoder,
     weights: tuple[float, float, float] = PART_WEIGHTS,
     max_body_sentences: int = 80,
+    others: Sequence[tuple[float, float, float]] = (),
 ):
-    """Column function of (title, lead, sentences) giving ``struct<A, PR, HS>``.
+    """Column function of (title, lead, sentences) giving ``struct<A, PR, HS>``, and ``A0, A1, ...`` for ``others``, further weights.
 
-    Every sentence is encoded once and serves both the body mean and PR.
+    Every sentence is encoded once and serves the body mean, for all weights, and PR.
     """
-    w_title, w_lead, w_body = weights
+    names = ["A", "PR", "HS", *[f"A{k}" for k in range(len(others))]]
 
     def encode(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         enc = encoder()
@@ -102,18 +120,19 @@ def document_vectors(
                 coherence = np.clip(
                     (t * l).sum(axis=1) / (np.linalg.norm(t, axis=1) * np.linalg.norm(l, axis=1) + TINY), 0.0, 1.0
                 )
-                a = _float_lists(_unit(w_title * t + w_lead * l + w_body * mean))
-                done.append(pa.StructArray.from_arrays([a, pa.array(similarity), pa.array(coherence)], names=["A", "PR", "HS"]))
+                a, *more = (_float_lists(_unit(w[0] * t + w[1] * l + w[2] * mean)) for w in (weights, *others))
+                done.append(pa.StructArray.from_arrays([a, pa.array(similarity), pa.array(coherence), *more], names=names))
             yield pa.concat_arrays(done)
 
-    return once(F.arrow_udf(encode, DOCUMENT))
+    return once(F.arrow_udf(encode, StructType([*DOCUMENT, *[StructField(n, VECTOR) for n in names[3:]]])))
 
 
 def with_document_vectors(df: DataFrame, title: str, lead: str, sents: str, **options) -> DataFrame:
-    """Add A, PR and HS; a narrow map over Arrow batches."""
+    """Add A, PR and HS, and A0, A1, ... for ``others``; a narrow map over Arrow batches."""
     vec = document_vectors(**options)
+    names = ["A", "PR", "HS", *[f"A{k}" for k in range(len(options.get("others", ())))]]
     return (
         df.withColumn("_v", vec(F.coalesce(title, F.lit("")), F.coalesce(lead, F.lit("")), F.col(sents)))
-        .withColumns({"A": F.col("_v.A"), "PR": F.col("_v.PR"), "HS": F.col("_v.HS")})
+        .withColumns({n: F.col(f"_v.{n}") for n in names})
         .drop("_v")
     )

@@ -45,11 +45,14 @@ def token_spans(cleaned: Column, spaced: Column, test, limit: int | None = MAX_T
 
 
 def spans_at(hits: Column, spaced: Column, limit: int | None = MAX_TOKEN_SPANS) -> Column:
-    """Character offsets of the words at the first ``limit`` of the ascending places ``hits``."""
+    """Character offsets of the words at the first ``limit`` of the ascending places ``hits``.
+
+    Every slice reads its whole array, so the words after the last of those places are cut off first.
+    """
     hits = hits if limit is None else F.slice(hits, 1, limit)
     begin = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def walk(pieces: Column) -> Column:
+    def walk(places: Column, pieces: Column) -> Column:
         def advance(state: Column, i: Column) -> Column:
             passed = F.slice(pieces, state["seen"] + 1, i + 1 - state["seen"])
             end = state["at"] + F.length(F.array_join(passed, ""))
@@ -62,20 +65,23 @@ def spans_at(hits: Column, spaced: Column, limit: int | None = MAX_TOKEN_SPANS)
 
             return let(end, step)
 
-        return F.aggregate(hits, begin, advance, lambda state: state["spans"])
+        return F.aggregate(places, begin, advance, lambda state: state["spans"])
+
+    def reached(places: Column) -> Column:
+        return F.slice(spaced, 1, F.coalesce(F.get(places, F.size(places) - 1), F.lit(-1)) + 1)
 
-    return let(spaced, walk)
+    return let(hits, lambda places: let(reached(places), lambda pieces: walk(places, pieces)))
 
 
 def keyword_spans(text: Column, limit: int | None = MAX_KEYWORD_SPANS) -> Column:
     """First place of every keyword that occurs, in keyword order."""
-    lowered = F.lower(text)
-    places = [
-        F.struct((F.instr(lowered, k) - 1).alias("start"), (F.instr(lowered, k) - 1 + len(k)).alias("end"))
-        for k in FACT_KEYWORDS
-    ]
-    found = F.filter(F.array(*places), lambda p: p["start"] >= 0)
-    return found if limit is None else F.slice(found, 1, limit)
+
+    def places(lowered: Column) -> Column:
+        return F.array(*[F.struct((F.instr(lowered, k) - 1).alias("start"), F.lit(len(k)).alias("n")) for k in FACT_KEYWORDS])
+
+    found = F.filter(let(F.lower(text), places), lambda p: p["start"] >= 0)
+    spans = F.transform(found, lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["n"]).alias("end")))
+    return spans if limit is None else F.slice(spans, 1, limit)
 
 
 def _entry(name: str, spans: Column | None = None, notes: Column | None = None, **meta: Column) -> Column:

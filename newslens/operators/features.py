@@ -95,7 +95,7 @@ def array_var_pop(xs: Column, mean: Column) -> Column:
 
 
 def occurrences(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    return F.when(~text.contains(char), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(char), F.lit(""))))
 
 
 def quote_count(text: Column) -> Column:
@@ -122,11 +122,7 @@ def selective_quoting(text: Column, squeezed: Column) -> Column:
 
 
 def keyword_hits(text: Column) -> Column:
-    lowered = F.lower(text)
-    total = F.lit(0)
-    for k in FACT_KEYWORDS:
-        total = total + F.when(lowered.contains(k), 1).otherwise(0)
-    return total
+    return let(F.lower(text), lambda lowered: sum((F.when(lowered.contains(k), 1).otherwise(0) for k in FACT_KEYWORDS), F.lit(0)))
 
 
 def fact_confirmation(text: Column) -> Column:

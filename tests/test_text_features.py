@@ -128,3 +128,43 @@ def test_encoder_choice():
         pick_encoder("st")
     with pytest.raises(ValueError):
         pick_encoder("other")
+
+
+def test_patterns_equal_the_plain_ones(spark):
+    rng = np.random.default_rng(7)
+    marks = ["a", "B", " ", " ", "\n", "\t", "\x1c", "\x1f", " ", "　", ".", ",", "(", "]", "'", "\U0001f600", "9"]
+    rows = [("".join(rng.choice(marks, rng.integers(0, 30))),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "text string")
+    plain = F.trim(F.regexp_replace("text", tx.SPACE + "+", " "))
+    edges = r"""(?<![^ \n])[.,!?;:'"()\[\]{}]+|[.,!?;:'"()\[\]{}]+(?![^ \n])"""
+    assert df.filter(plain != tx.squeeze(F.col("text"))).isEmpty()
+    assert df.filter(F.regexp_replace(F.lower("text"), edges, "") != tx.mark_clean(F.col("text"))).isEmpty()
+
+
+def test_sums_of_entries_equal_those_of_whole_vectors():
+    import pyarrow as pa
+
+    from newslens.operators import embedding as em
+
+    enc, rng = hash_encoder(), np.random.default_rng(8)
+    texts = [[" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9))) for _ in range(rng.integers(0, 60))] for _ in range(90)]
+    sents = pa.array([*texts, [], [""]], pa.list_(pa.string()))
+    for found, want in zip(em._sentence_sums(enc, sents, 7), em._sentence_sums(lambda t: enc(t), sents, 7)):
+        assert np.allclose(found, want, atol=1e-12)
+
+
+def test_spans_slice_only_as_far_as_they_reach(spark):
+    from newslens.operators.evidence import spans_at
+
+    df = spark.createDataFrame([([1, 3, 9], ["a", " bc", " d", " ef", " g"]), ([], ["a"]), ([0], ["xy"])], "hits array<int>, spaced array<string>")
+    got = [[tuple(s) for s in r[0]] for r in df.select(spans_at(F.col("hits"), F.col("spaced"), 2)).collect()]
+    assert got == [[(2, 4), (7, 9)], [], [(0, 2)]]
+
+
+def test_first_sentence_of_the_head_is_that_of_the_text(spark):
+    from catalog.common import HEAD, first_sentence
+
+    texts = ["A. B", "x" * HEAD + ". B c", " A. " + " " * HEAD + "B c", "", None, " ", "a " * (HEAD // 2 - 2) + "b. C d", "y" * (HEAD - 2) + ". C d", "z" * (HEAD - 3) + ". C d"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.get(tx.pieces(tx.mark_sentences(tx.squeeze(F.col("text"))), "\n"), 0)
+    assert df.filter(~whole.eqNullSafe(first_sentence(F.col("text")))).isEmpty()
