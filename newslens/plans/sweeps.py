@@ -31,8 +31,8 @@ DROP_GRID = ((), ("PR",), ("SR",), ("HS",), ("UL",), ("SP", "NC"))
 
 
 def _sweep(features: DataFrame, splits: DataFrame, settings: RunSettings, seed: int, kinds: Sequence[str]) -> list[DataFrame]:
-    """Scored val and test rows of several classifiers on one seed; calibration is shared."""
-    prepared = prepare(rows_of_seed(features, splits, seed), settings, transition=False)
+    """Scored val and test rows of several classifiers on one seed; calibration is shared. None of them reads A."""
+    prepared = prepare(rows_of_seed(features.drop("A"), splits, seed), settings, transition=False)
     scored = []
     for kind in kinds:
         one = replace(settings, classifier=kind)
@@ -67,12 +67,13 @@ def run_ablations(
     """Grid of classifier x embedding weights x dropped features on the first seed.
 
     Weights change the feature table, so they are the outer loop; the other two
-    reuse it.
+    reuse it. One pass over the texts makes the tables of all weights.
     """
     seed, scored, corpus = settings.seeds[0], [], corpus_digest(articles)
+    weights = [tuple(w) for w in weights]
     for w in weights:
-        weighted = replace(settings, weights=tuple(w))
-        features, splits = stage_tables(articles, weighted, folder, encoder, corpus)
+        weighted = replace(settings, weights=w)
+        features, splits = stage_tables(articles, weighted, folder, encoder, corpus, weights)
         for drop in drops:
             marks = {"weights": F.lit("/".join(map(str, w))), "dropped": F.lit("+".join(drop))}
             one = replace(weighted, drop_features=tuple(drop))

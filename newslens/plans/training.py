@@ -33,9 +33,13 @@ SPLIT_FIELDS = ("seeds", "n_splits", "ratio", "dedupe", "max_bits")
 
 
 def article_features(
-    articles: DataFrame, settings: RunSettings, encoder: Callable[[], Encoder] = hash_encoder, evidence: bool = False
+    articles: DataFrame,
+    settings: RunSettings,
+    encoder: Callable[[], Encoder] = hash_encoder,
+    evidence: bool = False,
+    others: Sequence[tuple[float, float, float]] = (),
 ) -> DataFrame:
-    """Articles with A and all feature columns and, if wanted, the evidence behind them.
+    """Articles with A and all feature columns and, if wanted, the evidence behind them, and ``A0, A1, ...`` for ``others``, further weights.
 
     One narrow pass over the text: no shuffle whatever the size. With ``settings.lexicon_table`` the words of the texts
     are joined with that table first.
@@ -56,6 +60,7 @@ def article_features(
         encoder=encoder,
         weights=settings.weights,
         max_body_sentences=settings.max_body_sentences,
+        others=others,
     )
     names = FEATURE_ORDER + (("FC",) if settings.fact_confirmation else ())
     if evidence:
@@ -68,7 +73,8 @@ def article_features(
             max_keyword_spans=settings.max_keyword_spans,
             table_size=table_size,
         )
-    return out.select("id", "label", "source", "A", *names, *(["evidence"] if evidence else []))
+    more = [f"A{k}" for k in range(len(others))]
+    return out.select("id", "label", "source", "A", *names, *(["evidence"] if evidence else []), *more)
 
 
 def article_evidence(articles: DataFrame, settings: RunSettings, encoder: Callable[[], Encoder] = hash_encoder) -> DataFrame:
@@ -93,31 +99,50 @@ def corpus_digest(articles: DataFrame) -> str:
     """
     columns = ("id", "title", "text", "label", "source")
     content = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).cast("decimal(38,0)")
-    doubled = articles.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).collect()
+    per_id = articles.select("id", content.alias("_content")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("_content").alias("total"))
+    wrong = F.when((F.col("n") > 1) | F.col("id").isNull(), F.struct("n", "id"))
+    n, total, doubled = per_id.agg(F.sum("n"), F.sum("total"), F.max(wrong)).first()
     if doubled:
-        raise ValueError(f"ids must be unique and not null: {doubled[0].id!r} has {doubled[0].n} rows")
-    n, total = articles.agg(F.count(F.lit(1)), F.sum(content)).first()
-    return f"{n}-{int(total or 0) % 2**64:016x}"
+        raise ValueError(f"ids must be unique and not null: {doubled.id!r} has {doubled.n} rows")
+    return f"{n or 0}-{int(total or 0) % 2**64:016x}"
 
 
 def stage_tables(
-    articles: DataFrame, settings: RunSettings, folder: str, encoder: Callable[[], Encoder] = hash_encoder, corpus: str | None = None
+    articles: DataFrame,
+    settings: RunSettings,
+    folder: str,
+    encoder: Callable[[], Encoder] = hash_encoder,
+    corpus: str | None = None,
+    weights: Sequence[tuple[float, float, float]] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Features and splits, addressed by the rows and the settings they depend on.
 
     Sweeps over classifiers or dropped features find both tables again, and give the digest of the
-    ``corpus`` so that the rows are read for it only once. ``settings.encoder`` names the encoder.
+    ``corpus`` so that the rows are read for it only once. Sweeps over ``weights`` name them all: only A depends on them, so
+    one pass over the texts serves the feature tables of all that are missing. ``settings.encoder`` names the encoder.
     """
     if encoder is not hash_encoder and settings.encoder == "hash":
         raise ValueError("settings.encoder must name the encoder")
     spark = articles.sparkSession
     corpus = corpus or corpus_digest(articles)
-    features = stored(
-        spark,
-        folder,
-        f"features-{settings.encoder}-{corpus}-{settings.digest(*FEATURE_FIELDS)}",
-        lambda: article_features(articles, settings, encoder, evidence=True),
-    )
+
+    def name(one: RunSettings) -> str:
+        return f"features-{one.encoder}-{corpus}-{one.digest(*FEATURE_FIELDS)}"
+
+    def build_features() -> DataFrame:
+        known = {settings.weights: settings} | {tuple(w): replace(settings, weights=tuple(w)) for w in weights}
+        del known[settings.weights]
+        missing = {w: s for w, s in known.items() if not exists(spark, f"{folder.rstrip('/')}/{name(s)}/_SUCCESS")}
+        rows = article_features(articles, settings, encoder, evidence=True, others=tuple(missing))
+        if not missing:
+            return rows
+        columns = rows.columns[: len(rows.columns) - len(missing)]
+        rows = materialize(rows, "features-of-weights")
+        for k, s in enumerate(missing.values()):
+            stored(spark, folder, name(s), lambda: rows.select(*[F.col(f"A{k}").alias("A") if c == "A" else c for c in columns]))
+        return rows.select(*columns)
+
+    features = stored(spark, folder, name(settings), build_features)
 
     def build_splits() -> DataFrame:
         groups = article_groups(articles, settings.dedupe, settings.max_bits)

@@ -251,3 +251,16 @@ def test_fidelity_in_full_blocks_far_from_the_origin(spark, monkeypatch):
     gap = df.withColumn("ah", F.when(F.col("id") != 3, F.col("ah")))
     got = fidelity.distance_correlation(gap, ["a", "b"], ["ah", "bh"]).first()
     assert (got.pairs, got.pearson) == (len(pairs), None)
+
+
+def test_one_pass_makes_the_tables_of_all_weights(spark, tmp_path, monkeypatch):
+    df, passes = sample_articles(spark), []
+    real = tr.article_features
+    monkeypatch.setattr(tr, "article_features", lambda *a, **k: passes.append(1) or real(*a, **k))
+    grid = [(0.1, 0.3, 0.6), (0.2, 0.3, 0.5), (0.3, 0.2, 0.5)]
+    for w in grid:
+        got = tr.stage_tables(df, RunSettings(weights=w), str(tmp_path), weights=grid)[0]
+        want = real(df, RunSettings(weights=w), evidence=True)
+        assert got.columns == want.columns
+        assert got.orderBy("id").collect() == want.orderBy("id").collect()
+    assert len(passes) == 1
