@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from newslens.functions.hashing import simhash64
 from newslens.functions.scalars import hamming
 from newslens.operators.ordering import attach
-from newslens.runtime import materialize, spread
+from newslens.runtime import by_shuffle, materialize, spread
 
 BITS = 64
 # The band layout of the method, 8 bands of 8 bits.
@@ -118,7 +118,7 @@ def _verified(keyed: DataFrame, blocks: int, max_bits: int) -> DataFrame:
     a, b = keyed.alias("a"), keyed.alias("b")
     diff = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
     found = a.join(
-        b,
+        by_shuffle(b),
         (F.col("a.choice") == F.col("b.choice"))
         & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.sig") < F.col("b.sig"))
@@ -266,7 +266,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text: str = "text", max_
     nodes = materialize(distinct_signatures(sigs), "nodes")
     pairs = near_pairs(nodes, max_bits)
     roots = connected_components(pairs.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")))
-    linked = nodes.join(roots, nodes.sig == roots.node, "left").select(
+    linked = nodes.join(by_shuffle(roots), nodes.sig == roots.node, "left").select(
         "sig", "rep", "n", F.coalesce("root", "sig").alias("root")
     )
     group_ids = linked.groupBy("root").agg(F.min("rep").alias("group_id"), F.count(F.lit(1)).alias("deg"))

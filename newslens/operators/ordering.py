@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.runtime import materialize
+from newslens.runtime import by_shuffle, materialize
 
 
 def range_buckets(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
@@ -100,7 +100,7 @@ def attach(
     kept = [F.col(c) for c in left.columns]
     hot_above = max(total // HOT_SHARE, MIN_HOT_ROWS)
     if total <= hot_above:
-        return left.join(right.select(key, *columns), key, "left").select(*kept, *columns)
+        return left.join(by_shuffle(right.select(key, *columns)), key, "left").select(*kept, *columns)
     hot = F.col(weight) > hot_above
     payload = F.struct(*columns)
     hot_side = right.filter(hot).select(F.col(key).alias("_hk"), payload.alias("_hot"))
@@ -108,7 +108,7 @@ def attach(
     marked = left.join(F.broadcast(hot_side), F.col(key) == F.col("_hk"), "left")
     slot = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)))
     joined = marked.withColumn("_slot", slot.cast("bigint")).join(
-        cold_side, (F.col(key) == F.col("_ck")) & (F.col("_slot") == F.col("_cs")), "left"
+        by_shuffle(cold_side), (F.col(key) == F.col("_ck")) & (F.col("_slot") == F.col("_cs")), "left"
     )
     picked = [F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in columns]
     return joined.select(*kept, *picked)

@@ -14,7 +14,7 @@ from newslens.functions.hashing import order_key
 from newslens.operators.neardup import near_duplicate_groups
 from newslens.operators.ordering import attach
 from newslens.operators.quotas import take_segments
-from newslens.runtime import materialize
+from newslens.runtime import by_shuffle, materialize
 
 SPLITS = ("test", "val", "train")
 
@@ -76,7 +76,7 @@ def stratified_splits(
     used = [int(s) for s in seeds[:n_splits]]
     if groups is None:
         groups = article_groups(articles, dedupe, max_bits)
-    members = materialize(articles.select("id", "label").join(groups, "id"), "members")
+    members = materialize(articles.select("id", "label").join(by_shuffle(groups), "id"), "members")
     labels = materialize(group_labels(members), "group-labels")
     counts = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     if not counts:

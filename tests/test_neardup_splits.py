@@ -10,6 +10,7 @@ from newslens.functions.scalars import hamming
 from newslens.operators import neardup as nd
 from newslens.operators import ordering
 from newslens.operators import splits as sp
+from newslens.runtime import materialize
 
 
 def plain_simhash(text):
@@ -204,3 +205,41 @@ def test_banded_pairs_by_blocks_of_signatures(spark, monkeypatch):
         assert len(got) == len(set(got))
         assert set(got) == {(a, b, distance(a, b)) for a, b in brute_pairs(sigs, bits) if shared(a, b)}
     assert nd.near_pairs(spark.createDataFrame([], "sig bigint"), 8).count() == 0
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_split_plans_are_not_broadcast(spark, monkeypatch):
+    """Their stored table is small, but seven seeds a group are not; only the few hot keys may go through the driver."""
+    plan = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit("train").alias("split")) for s in (13, 17)])
+    rows = materialize(spark.range(400).select("id", (F.col("id") % 40).alias("group_id")), "rows")
+    plans = materialize(spark.range(40).select(F.col("id").alias("group_id"), F.lit(10).alias("n"), plan.alias("plan")), "plans")
+    for hot, many in ((ordering.MIN_HOT_ROWS, 0), (5, 1)):
+        monkeypatch.setattr(ordering, "MIN_HOT_ROWS", hot)
+        got = ordering.attach(rows, plans, "group_id", ["plan"], "n", 400, ["id"])
+        assert broadcasts(got) == many
+        assert sorted((r.id, len(r.plan)) for r in got.collect()) == [(i, 2) for i in range(400)]
+
+
+def test_keys_of_signatures_are_not_broadcast(spark):
+    """A row per key leaves ``explode``, which Spark's estimate of the stored signatures leaves out."""
+    rng = random.Random(4)
+    sigs = {rng.getrandbits(63) for _ in range(60)}
+    sigs |= {s ^ 1 << rng.randrange(60) for s in list(sigs)[:20]}
+    nodes = materialize(spark.createDataFrame([(s,) for s in sigs], "sig bigint"), "few-nodes")
+    pairs = nd.near_pairs(nodes, 3)
+    assert broadcasts(pairs) == 0
+    assert {tuple(r) for r in pairs.collect()} == {(a, b, distance(a, b)) for a, b in brute_pairs(sorted(sigs), 3)}
+
+
+def test_whole_splits_broadcast_constants_only(spark, monkeypatch):
+    """What is written on the way to the splits: no plan sends a table of rows or groups through the driver."""
+    sent = []
+    for at in (nd, sp):
+        monkeypatch.setattr(at, "materialize", lambda df, tag, f=at.materialize: sent.append((tag, broadcasts(df))) or f(df, tag))
+    df = materialize(articles(spark, 30), "few-articles")
+    out = sp.stratified_splits(df, (13, 17))
+    assert {t for t, n in sent if n} <= {"group-splits"}  # quotas and cuts: a few rows
+    assert broadcasts(out) == 0 and out.count() == 2 * df.count()
